@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .bars import STOCK, by_stock
 from .indicators import DEVIATION_MAX, VOLUME_RATIO_MAX, WARM_UP, features, fire
 
@@ -125,6 +126,7 @@ def exact_median(df: DataFrame, column: str, cells: int = 4096) -> DataFrame:
 
 def trade_summary(trades: DataFrame) -> DataFrame:
     """Win rate, mean, exact median, extremes, profit factor and holding time; one row."""
+    trades = materialize(trades)
     r = F.col("return")
     gains, losses = F.sum(F.when(r > 0, r)), F.sum(F.when(r <= 0, r))
     totals = trades.agg(
@@ -147,6 +149,7 @@ def trades_by_year(trades: DataFrame) -> DataFrame:
 
 def extreme_trades(trades: DataFrame, k: int = 5) -> DataFrame:
     """The k worst and k best trades; ties by stock and date."""
+    trades = materialize(trades)
     tie = ("stock_id", "signal_date")
     worst = trades.orderBy(F.asc("return"), *tie).limit(k).withColumn("side", F.lit("worst"))
     best = trades.orderBy(F.desc("return"), *tie).limit(k).withColumn("side", F.lit("best"))

@@ -69,7 +69,7 @@ def ema(bars: DataFrame, specs: dict[str, tuple[str, tuple[int, ...]]], start_at
         sources.setdefault(source, []).append(name)
     arrays = []
     for source, names in sources.items():
-        series = F.transform("bars", lambda b, s=source: b[s].cast("double"))
+        series = F.transform(F.col("bars")[source], lambda value: value.cast("double"))
         packed = packed.withColumn(f"_{source}", _chains(series, tuple(specs[n][1] for n in names)))
         arrays += [F.col(f"_{source}")[i].alias(n) for i, n in enumerate(names)]
     rows = packed.select("stock_id", F.inline(F.arrays_zip("bars", *arrays)))
@@ -89,8 +89,8 @@ def _with_averages(bars: DataFrame, start_at: str | None, exit_ema: int | None =
         prices = prices.filter(F.col("trade_date") >= F.lit(start_at).cast("date"))
     kept = [c for c in prices.columns if c not in ("stock_id", "trade_date")]
     packed = pack(prices, kept)
-    on_price = _chains(F.transform("bars", lambda b: b["price"]), ((35,), (2, 2)))
-    on_close = _chains(F.transform("bars", lambda b: b["close"]), tuple((n,) for n in (6, 18, *STACK, exit_ema or 1)))
+    on_price = _chains(F.col("bars")["price"], ((35,), (2, 2)))
+    on_close = _chains(F.col("bars")["close"], tuple((n,) for n in (6, 18, *STACK, exit_ema or 1)))
     packed = packed.withColumns({"_p": on_price, "_c": on_close})
     packed = packed.withColumn("_mom", F.zip_with(F.col("_c")[0], F.col("_c")[1], momentum))
     packed = packed.withColumn("_s", _chains(F.col("_mom"), ((3,),)))

@@ -102,12 +102,12 @@ def duck(body: str, *names: str, recursive: bool = False) -> str:
     raw = {name: name for name in RAW}
     ctes = [f"f_{name} AS ({DUCK[name].format(**raw)})" for name in names]
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        ctes.append(body[5:])
-        body = ""
-    elif body[:15].upper() == "WITH RECURSIVE ":
+    if body[:15].upper() == "WITH RECURSIVE ":
         ctes.append(body[15:])
         body, recursive = "", True
+    elif body[:5].upper() == "WITH ":
+        ctes.append(body[5:])
+        body = ""
     if not ctes:
         return body
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + body
