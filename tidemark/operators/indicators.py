@@ -104,11 +104,18 @@ def _with_averages(bars: DataFrame, start_at: str | None, exit_ema: int | None =
 
 def floor_lines(rows: DataFrame) -> DataFrame:
     """L1 = mean of the 10/30/90-bar lows of the 35-bar average, L2 = mean of the 5/15/30-bar lows of L1."""
-    def mean_low(column: str, spans: tuple[int, int, int]) -> Column:
-        lows = [F.min(column).over(trailing(n)) for n in spans]
-        return (lows[0] + lows[1] + lows[2]) / 3
-
-    return rows.withColumn("l1", mean_low("e35", (10, 30, 90))).withColumn("l2", mean_low("l1", (5, 15, 30)))
+    def mean_low(frame: DataFrame, column: str, spans: tuple[int, int, int], name: str) -> DataFrame:
+        # A longer low is the least of shorter lows side by side, so only the first
+        # span is scanned bar by bar.
+        w = by_stock()
+        frame = frame.withColumn("_0", F.min(column).over(trailing(spans[0])))
+        for i in (1, 2):
+            steps = spans[i] // spans[i - 1]
+            parts = [F.lag(f"_{i - 1}", k * spans[i - 1]).over(w) for k in range(1, steps)]
+            frame = frame.withColumn(f"_{i}", F.least(F.col(f"_{i - 1}"), *parts))
+        return frame.withColumn(name, (F.col("_0") + F.col("_1") + F.col("_2")) / 3).drop("_0", "_1", "_2")
+
+    return mean_low(mean_low(rows, "e35", (10, 30, 90), "l1"), "l1", (5, 15, 30), "l2")
 
 
 def fast_line(bars: DataFrame) -> DataFrame:
