@@ -80,6 +80,34 @@ SELECT stock_id AS id, '600' || LPAD(CAST(stock_id AS STRING), 6, '0') AS stock_
        CASE WHEN stock_id % 11 = 4 THEN '*ST u' || CAST(stock_id AS STRING) ELSE 'u' || CAST(stock_id AS STRING) END AS stock_name
 FROM (SELECT DISTINCT user_id AS stock_id FROM {events} UNION ALL SELECT MAX(user_id) + 1 AS stock_id FROM {events}) g"""
 
+# Documents with stock codes in several spellings (and a run that is too long).
+POSTS = """
+SELECT id, topic_id, title, author, published_at, content || CASE id % 3
+   WHEN 0 THEN ' SH600' || LPAD(CAST(id % 1000 AS STRING), 3, '0')
+   WHEN 1 THEN ' ref 3007' || LPAD(CAST(id % 100 AS STRING), 2, '0') || ',600' || LPAD(CAST(id % 100 AS STRING), 3, '0')
+   ELSE ' 1600123' || CAST(id % 10 AS STRING) END AS content
+FROM {docs}"""
+
+# A catalogue whose names occur in the documents; some names are blank.
+CATALOG = """
+SELECT item_id AS id, '600' || LPAD(CAST(item_id AS STRING), 3, '0') AS stock_code,
+  CASE WHEN item_id % 9 = 4 THEN '' ELSE SPLIT_PART(text, ' ', 1) || ' ' || SPLIT_PART(text, ' ', 2) END AS stock_name
+FROM {benchmark}"""
+
+# Single words of the benchmark as names: a dictionary that grows with the data.
+LONG_NAMES = """
+SELECT MIN(item_id) AS id, '000' || LPAD(CAST(MIN(item_id) AS STRING), 3, '0') AS stock_code, word AS stock_name
+FROM {benchmark_words} WHERE LENGTH(word) >= 7 GROUP BY word"""
+
+ALIASES = """
+SELECT word AS term, '688' || LPAD(CAST(position * 7 AS STRING), 3, '0') AS stock_code, UPPER(word) AS stock_name, position
+FROM (SELECT word, ROW_NUMBER() OVER (ORDER BY word) AS position FROM (
+  SELECT DISTINCT SPLIT_PART(p_name, ' ', 2) AS word FROM {part}) d) r WHERE word <> ''"""
+
+# Raw forms that share a dictionary word: the first letter.
+DICTIONARY = """
+SELECT id, keyword, SUBSTR(keyword, 1, 1) AS normalized_keyword, category, active, deleted, keyword AS position FROM {words}"""
+
 DUCK = {
     "bars": BARS, "stocks": STOCKS, "topics": TOPICS, "mentions": MENTIONS, "topic_words": TOPIC_WORDS,
     "words": WORDS, "docs": DOCS, "grid": GRID, "grid_stocks": GRID_STOCKS,
@@ -91,6 +119,8 @@ CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) n""",
 SELECT u.stock_id, c.trade_date FROM (SELECT DISTINCT user_id AS stock_id FROM {events}) u
 CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM {events}) c
 WHERE (u.stock_id + DAY(c.trade_date)) % 3 <> 0""",
+    "posts": POSTS, "catalog": CATALOG, "long_names": LONG_NAMES, "aliases": ALIASES, "dictionary": DICTIONARY,
+    "benchmark_words": "SELECT item_id, UNNEST(STRING_SPLIT(text, ' ')) AS word FROM benchmark",
     "calendar": "SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM {events}",
 }
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -100,6 +130,7 @@ RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
 def duck(body: str, *names: str, recursive: bool = False) -> str:
     """`body` behind the named derived tables (`f_bars`, ...)."""
     raw = {name: name for name in RAW}
+    raw.update({name: f"f_{name}" for name in DUCK})
     ctes = [f"f_{name} AS ({DUCK[name].format(**raw)})" for name in names]
     body = body.strip()
     if body[:15].upper() == "WITH RECURSIVE ":
@@ -180,6 +211,27 @@ class Tables:
     def docs(self) -> DataFrame:
         return self._sql(DOCS, "documents")
 
+    @cached_property
+    def posts(self) -> DataFrame:
+        return self.spark.sql(POSTS, docs=self.docs)
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return self._sql(CATALOG, "benchmark")
+
+    @cached_property
+    def long_names(self) -> DataFrame:
+        words = self.raw("benchmark").select("item_id", F.explode(F.split("text", " ")).alias("word"))
+        return self.spark.sql(LONG_NAMES, benchmark_words=words)
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return self._sql(ALIASES, "part")
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return self.spark.sql(DICTIONARY, words=self.words)
+
     @cached_property
     def doc_links(self) -> DataFrame:
         n = self.raw("supplier").agg(F.count(F.lit(1)).alias("n"))
