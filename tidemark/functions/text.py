@@ -90,8 +90,12 @@ def clean_text(text: Column) -> Column:
 
 def snippet(text: Column, term: Column, width: int = 80) -> Column:
     """`width // 2` characters on both sides of the first hit, else the first `width`."""
+    return snippet_at(text, term, F.position(term, text), width)
+
+
+def snippet_at(text: Column, term: Column, hit: Column, width: int = 80) -> Column:
+    """The snippet when the position of the first hit (1-based, 0 for none) is known."""
     half = width // 2
-    hit = F.position(term, text)
     start = F.greatest(hit - half, F.lit(1))
     length = hit + F.length(term) + half - start
     return F.when(hit > 0, F.substring(text, start, length)).otherwise(F.substring(text, F.lit(1), F.lit(width)))

@@ -4,37 +4,69 @@ The dictionary may be a handful of aliases or a catalogue that grows with the da
 so its size is measured first and one of three exact strategies is taken:
 
 * up to `FEW` terms: each text is tested against the terms as a constant array;
-* up to `BOUNDED` terms: a text's distinct trigrams are intersected with one chosen
-  trigram per term (a constant), and only terms whose trigram occurs are tested;
-* beyond: the trigrams are exploded and hash-joined, so neither side is broadcast.
+* up to `BOUNDED` terms: one multi-pattern automaton over the terms finds all of them in
+  a single pass over each text (an Arrow function; the automaton is built per task);
+* beyond: distinct character n-grams of the texts are hash-joined with one chosen n-gram
+  per term and the candidates verified, so neither side is broadcast.
+
+The context of a hit is cut where the text is at hand; only (key, term, context) goes on,
+so texts are not repeated per hit nor shuffled with the hits.
 """
 
 from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEW = 64
+from ..functions.text import snippet, snippet_at
+
+FEW = 128
 BOUNDED = 20_000
 GRAM = 3
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "topic_id", text: str = "text",
                     term: str = "term", few: int = FEW, bounded: int = BOUNDED) -> DataFrame:
-    """(key, text, term) for every term that is a substring of the text. `key` is unique in `texts`."""
+    """(key, term, context) for every term that is a substring of the text. `key` is unique in `texts`."""
     words = terms.select(F.col(term).alias("term")).filter("term IS NOT NULL AND term <> ''").distinct()
     sample = [r[0] for r in words.limit(few + 1).collect()]
     base = texts.select(F.col(key), F.col(text).alias("text"))
     if not sample:
-        return base.withColumn("term", F.lit(None).cast("string")).filter(F.lit(False))
+        return base.select(key, F.lit("").alias("term"), F.lit("").alias("context")).filter(F.lit(False))
     if len(sample) <= few:
-        return _by_scan(base, sample)
-    anchored = _anchors(words)
-    if words.limit(bounded + 1).count() <= bounded:
-        return _by_constant(base, anchored)
-    return _by_join(base, anchored, key)
+        return _unpack(base, key, F.filter(_constant(sample), lambda t: F.contains(F.col("text"), t)))
+    known = [r[0] for r in words.limit(bounded + 1).collect()]
+    if len(known) <= bounded:
+        return _unpack(base, key, _automaton(known)(F.col("text")))
+    return _by_join(base, words, key)
+
+
+def _unpack(texts: DataFrame, key: str, found: Column) -> DataFrame:
+    """One row per found term with its context; the text is searched once per term."""
+    placed = F.transform(found, lambda t: F.struct(t.alias("term"), F.position(t, F.col("text")).alias("at")))
+    hits = F.transform(placed, lambda p: F.struct(
+        p["term"].alias("term"), snippet_at(F.col("text"), p["term"], p["at"]).alias("context")))
+    return texts.select(key, F.inline(hits))
+
+
+def _automaton(known: list[str]):
+    """Arrow function: the distinct terms of each text."""
+
+    @F.arrow_udf("array<string>")
+    def find(values: pa.Array) -> pa.Array:
+        import ahocorasick
+        import pyarrow as pa
+        trie = ahocorasick.Automaton()
+        for word in known:
+            trie.add_word(word, word)
+        trie.make_automaton()
+        return pa.array([sorted({word for _, word in trie.iter(value or "")}) for value in values.to_pylist()],
+                        pa.list_(pa.string()))
+
+    return find
 
 
 def _constant(values: list[str]) -> Column:
@@ -42,40 +74,22 @@ def _constant(values: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
-def _by_scan(texts: DataFrame, values: list[str]) -> DataFrame:
-    hits = F.filter(_constant(values), lambda t: F.contains(F.col("text"), t))
-    return texts.withColumn("term", F.explode(hits))
-
+def _grams(text: Column, width: int) -> Column:
+    """Distinct character n-grams: a look-ahead captures them at every position in one regex pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), 1))
 
-def _grams(text: Column) -> Column:
-    """Distinct trigrams plus shorter prefixes-by-position, as the anchors of short terms need."""
-    chars = F.split(text, "")
-    n = F.size(chars)
-    two = F.zip_with(chars, F.slice(chars, 2, n), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    three = F.zip_with(two, F.slice(chars, 3, n), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_distinct(F.concat(chars, two, three))
 
-
-def _anchors(words: DataFrame) -> DataFrame:
-    """(term, anchor): each term's rarest gram of length min(3, length) within the dictionary."""
-    size = F.least(F.length("term"), F.lit(GRAM))
-    grams = words.withColumn("anchor", F.explode(F.array_distinct(F.filter(
-        _grams(F.col("term")), lambda g: F.length(g) == size))))
+def _anchors(words: DataFrame, width: int) -> DataFrame:
+    """(term, anchor): each term's rarest n-gram within the dictionary."""
+    grams = words.withColumn("anchor", F.explode(_grams(F.col("term"), width)))
     counts = grams.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     return grams.join(counts, "anchor").groupBy("term").agg(
         F.min(F.struct("n", "anchor")).alias("a")).select("term", F.col("a.anchor").alias("anchor"))
 
 
-def _by_constant(texts: DataFrame, anchored: DataFrame) -> DataFrame:
-    rows = anchored.collect()
-    wanted = _constant(sorted({r["anchor"] for r in rows}))
-    found = texts.withColumn("anchor", F.explode(F.array_intersect(_grams(F.col("text")), wanted)))
-    known = texts.sparkSession.createDataFrame([(r["anchor"], r["term"]) for r in rows], "anchor string, term string")
-    return (found.join(F.broadcast(known), "anchor").filter(F.contains(F.col("text"), F.col("term")))
-            .drop("anchor"))
-
-
-def _by_join(texts: DataFrame, anchored: DataFrame, key: str) -> DataFrame:
-    grams = texts.select(key, F.explode(_grams(F.col("text"))).alias("anchor"))
-    candidates = grams.join(anchored, "anchor").select(key, "term")
-    return texts.join(candidates, key).filter(F.contains(F.col("text"), F.col("term")))
+def _by_join(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    width = min(GRAM, words.agg(F.min(F.length("term"))).first()[0])
+    grams = texts.select(key, F.explode(_grams(F.col("text"), width)).alias("anchor"))
+    candidates = grams.join(_anchors(words, width), "anchor").select(key, "term")
+    return (texts.join(candidates, key).filter(F.contains(F.col("text"), F.col("term")))
+            .select(key, "term", snippet(F.col("text"), F.col("term")).alias("context")))

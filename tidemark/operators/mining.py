@@ -82,7 +82,7 @@ def _named_mentions(topics: DataFrame, names: DataFrame, confidence: str, rank:
     hits = contained_terms(topic_texts(topics), names)
     return hits.join(names, "term").select(
         "topic_id", "stock_code", "stock_name", F.lit(confidence).cast("decimal(5,4)").alias("confidence"),
-        F.lit(rank).alias("rank"), "position", snippet(F.col("text"), F.col("term")).alias("mention_context"))
+        F.lit(rank).alias("rank"), "position", F.col("context").alias("mention_context"))
 
 
 def alias_frame(spark, aliases=STOCK_ALIASES) -> DataFrame:
@@ -145,7 +145,7 @@ def keyword_matches(topics: DataFrame, keywords: DataFrame) -> DataFrame:
     active = keywords.filter("category <> 'auto' AND active AND NOT deleted")
     raw = active.select(F.col("keyword").alias("term"), "normalized_keyword", "position")
     hits = contained_terms(topic_texts(topics), raw).join(raw, "term")
-    first = F.min(F.struct("position", "term", snippet(F.col("text"), F.col("term")).alias("context")))
+    first = F.min(F.struct("position", "term", "context"))
     return hits.groupBy("topic_id", "normalized_keyword").agg(first.alias("m")).select(
         "topic_id", "normalized_keyword", F.col("m.term").alias("keyword"), "m.context")
 
