@@ -5,7 +5,7 @@ so its size is measured first and one of three exact strategies is taken:
 
 * up to `FEW` terms: each text is tested against the terms as a constant array;
 * up to `BOUNDED` terms: one multi-pattern automaton over the terms finds all of them in
-  a single pass over each text (an Arrow function; the automaton is built per task);
+  a single pass over each text (an Arrow function; needs `pyahocorasick` on the workers);
 * beyond: distinct character n-grams of the texts are hash-joined with one chosen n-gram
   per term and the candidates verified, so neither side is broadcast.
 
@@ -15,6 +15,7 @@ so texts are not repeated per hit nor shuffled with the hits.
 
 from __future__ import annotations
 
+import importlib.util
 import json
 
 import pyarrow as pa
@@ -39,7 +40,7 @@ def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "topic_id", t
     if len(sample) <= few:
         return _unpack(base, key, F.filter(_constant(sample), lambda t: F.contains(F.col("text"), t)))
     known = [r[0] for r in words.limit(bounded + 1).collect()]
-    if len(known) <= bounded:
+    if len(known) <= bounded and importlib.util.find_spec("ahocorasick"):
         return _unpack(base, key, _automaton(known)(F.col("text")))
     return _by_join(base, words, key)
 
