@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrow import map_arrow
+
 # Classes of code points.
 OTHER, LETTER, NUMBER, BLANK, SPACE, QUOTE, ONE, C_R, C_V, C_L, C_E, END = range(12)
 # States: what the last character was. After QUOTED a contraction may follow; HAVE_* wait for its second letter.
@@ -265,7 +267,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
                     columns.append(pa.array([own.offsets(c) for c in coded], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*[f.name for f in rest], text).mapInArrow(run, schema)
+    return map_arrow(df.select(*[f.name for f in rest], text), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -281,4 +283,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 part = batch.slice(start, len(coded))
                 yield pa.RecordBatch.from_arrays([*part.columns, plain], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

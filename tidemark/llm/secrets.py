@@ -1,0 +1,226 @@
+"""Secrets in whole texts, also behind nested encodings.
+
+A worklist holds layers of a text. The first is the text itself; a layer is scanned, then unwrapped: its percent
+escapes are decoded, its Unicode escapes are decoded, and each base64 run that decodes to readable text or to a
+compressed stream (gzip, zlib, bzip2, xz) becomes a layer of its own. New layers join the list until none is left; a
+layer whose content was met before is not taken again, which ends cycles such as streams that unpack to themselves.
+Every layer carries, for each character, the span of the text it came from, so findings in any depth are spans of the
+text. Findings of the first layer are the base; deeper ones are added, never replacing a base span.
+
+Limits that are features: a base64 run has 16 characters at least, and one compressed stream is unpacked up to
+`MAX_UNPACKED` bytes (against bombs; what comes before the limit is scanned). Defined results: a null text is an
+empty one (no spans); result columns replace input columns of the same name; repeated rows are scanned alike.
+"""
+
+from __future__ import annotations
+
+import base64
+import bz2
+import hashlib
+import lzma
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .arrow import map_arrow
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+WORDS = ("password", "passwd", "secret", "token", "api")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n|[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+URL_SAFE = str.maketrans("-_", "+/", "\r\n")
+MAX_UNPACKED = 64 << 20
+SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
+                     T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
+ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
+
+
+def find(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of one layer: leftmost, not overlapping within a kind."""
+    low = text.lower()
+    found = []
+    if any(w in low for w in WORDS):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return found
+
+
+class Layer:
+    """A text and, per character, where it comes from in the original; None: the text is the original."""
+
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
+        self.text, self.start, self.end = text, start, end
+
+    def origin(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.start is None:
+            own = np.arange(len(self.text) + 1)
+            return own[:-1], own[1:]
+        return self.start, self.end
+
+
+def _spliced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
+    """The layer with [a, b) replaced by strings whose characters come from the given spans of the layer."""
+    start, end = layer.arrays()
+    texts, starts, ends, at = [], [], [], 0
+    for a, b, plain, first, last in parts:
+        texts += [layer.text[at:a], plain]
+        starts += [start[at:a], start[first]]
+        ends += [end[at:a], end[last]]
+        at = b
+    texts.append(layer.text[at:])
+    return Layer("".join(texts), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
+
+
+def percent(layer: Layer) -> Layer | None:
+    parts = []
+    for m in PERCENT.finditer(layer.text) if "%" in layer.text else ():
+        raw = bytes.fromhex(m[0].replace("%", ""))
+        plain = raw.decode("utf-8", "replace")
+        sizes = np.array([len(c.encode()) if c != "�" else 1 for c in plain])
+        if sizes.sum() != len(raw):  # invalid bytes that became one mark each or in groups: the whole run is their origin
+            first, last = np.full(len(plain), m.start()), np.full(len(plain), m.end() - 1)
+        else:
+            ends = np.cumsum(sizes)
+            first, last = m.start() + 3 * (ends - sizes), m.start() + 3 * ends - 1
+        parts.append((m.start(), m.end(), plain, first, last))
+    return _spliced(layer, parts) if parts else None
+
+
+def unicode_escapes(layer: Layer) -> Layer | None:
+    parts = []
+    for m in ESCAPE.finditer(layer.text) if "\\" in layer.text or "&#" in layer.text else ():
+        s = m[0]
+        value = int(s[2:-1]) if s[0] == "&" and s[2] != "x" else int(re.sub(r"[^0-9A-Fa-f]", "", s[3 if s[0] == "&" else 2:]), 16)
+        if value < 0x110000 and not 0xD800 <= value < 0xE000:
+            parts.append((m.start(), m.end(), chr(value), np.array([m.start()]), np.array([m.end() - 1])))
+    return _spliced(layer, parts) if parts else None
+
+
+def _unpacked(raw: bytes) -> bytes | None:
+    """The content of a compressed stream, up to the limit; None if it is none."""
+    if raw[:2] == b"\x1f\x8b":
+        tool = zlib.decompressobj(31)
+    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        tool = zlib.decompressobj()
+    elif raw[:3] == b"BZh":
+        tool = bz2.BZ2Decompressor()
+    elif raw[:6] == b"\xfd7zXZ\x00":
+        tool = lzma.LZMADecompressor()
+    else:
+        return None
+    try:
+        return tool.decompress(raw, MAX_UNPACKED)
+    except (OSError, zlib.error, lzma.LZMAError, EOFError):
+        return None
+
+
+def _readable(raw: bytes) -> str | None:
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+
+
+def base64_runs(layer: Layer) -> Iterator[Layer]:
+    for m in BASE64.finditer(layer.text):
+        run = m[0].translate(URL_SAFE).rstrip("=")
+        if len(run) % 4 == 1:
+            run = run[:-1]
+        raw = base64.b64decode(run + "=" * (-len(run) % 4))
+        unpacked = _unpacked(raw)
+        while unpacked is not None and (deeper := _unpacked(unpacked)) is not None and deeper != unpacked:
+            unpacked = deeper
+        text = _readable(raw) if unpacked is None else unpacked.decode("utf-8", "replace")
+        if not text:
+            continue
+        start, end = layer.arrays()
+        if unpacked is None and len(m[0]) - m[0].count("=") == len(run):  # no line ends: three bytes per four characters
+            ends = np.cumsum([len(c.encode()) for c in text])
+            sizes = np.diff(np.concatenate([[0], ends]))
+            first, last = m.start() + (ends - sizes) * 8 // 6, m.start() + (ends * 8 - 1) // 6
+            yield Layer(text, start[first], end[last])
+        else:
+            whole = int(start[m.start():m.end()].min()), int(end[m.start():m.end()].max())
+            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+
+
+def scan_text(text: str) -> list[tuple[int, int, int, bool]]:
+    """(start, kind number, end, base) of all layers, in order."""
+    base = find(text)
+    found = {x: True for x in base}
+    work, seen = [Layer(text)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    while work:
+        layer = work.pop()
+        for new in (percent(layer), unicode_escapes(layer), *base64_runs(layer)):
+            if new is None:
+                continue
+            mark = hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest()
+            origin = mark + new.origin(0, len(new.text))[0].to_bytes(8) if new.text else mark
+            if mark in seen or origin in seen:
+                continue
+            # The same content elsewhere in the text is a finding of its own, but not inside itself.
+            seen |= {origin} if layer.start is None else {origin, mark}
+            for a, kind, b in find(new.text):
+                s, e = new.origin(a, b)
+                found.setdefault((s, kind, e), False)
+            work.append(new)
+    return sorted((s, k, e, b) for (s, k, e), b in found.items())
+
+
+def scan(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """Adds `spans`: array of (kind, start, end, base) in code points, end exclusive."""
+    df = df.drop(spans)
+    schema = T.StructType([*df.schema.fields, T.StructField(spans, T.ArrayType(SPAN))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for value in batch.column(text):
+                rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": b}
+                             for s, k, e, b in scan_text(value.as_py() or "")])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(ARROW_SPAN))], names=schema.names)
+
+    return map_arrow(df, run, schema)
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """The rows with every span replaced by `mark`; overlapping spans are replaced together. Null stays null."""
+    schema = df.schema
+
+    def clean(value: str | None) -> str | None:
+        out, at = [], 0
+        for s, _, e, _ in scan_text(value) if value else ():
+            if s >= at:
+                out += [value[at:s], mark]
+            at = max(at, e)
+        return "".join([*out, value[at:]]) if out else value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = schema.names.index(text)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[k] = pa.array([clean(v.as_py()) for v in columns[k]], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return map_arrow(df, run, schema)
