@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, quality, secrets, url_filter, weighted
+from . import bpe, hilbert, packing, quality, secrets, url_filter, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.compare_edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
