@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, packing, quality, secrets, simhash, suffix_dedup, url_filter, weighted
+from . import bpe, hilbert, masked_lm, packing, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,15 +68,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = secrets.scan(docs).select("doc_id", "spans")
+    found = secret_scan.scan(docs).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["base"])
 
     def number(kind: str) -> Column:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *[number(kind) for kind in secrets.KINDS],
-        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+        "doc_id", *[number(kind) for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
 @_query
@@ -100,3 +100,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.summary(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+@_query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.train(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
