@@ -9,7 +9,8 @@ from ..session import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of `edges` (columns a, b, of any orderable type); component is the least node.
+    """(node, component) for every node of `edges` (columns a, b, of any orderable type) that has another neighbour than itself;
+    component is the least node.
 
     Each round hangs the larger neighbours of a node on its least neighbour, then the smaller ones; edges never grow
     in number beyond the first round, a node with very many edges is reduced by a partial minimum, and the join back can

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .frames import set_aside
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -147,6 +148,7 @@ def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept, with their own columns. The counts are taken twice (for the sketches and for the
     verdict), which is cheaper than moving the texts."""
+    docs, restored = set_aside(docs, "lang", "source", text)
     slim = with_counts(docs.select("lang", "source", text), text).select("lang", "source", *COUNTS)
     marked = judge(with_counts(docs, text), fences(slim))
-    return marked.where("kept").select(*docs.columns)
+    return restored(marked.where("kept"))

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .arrow import map_arrow
 from .components import components
+from .frames import set_aside
 
 RADIUS = 3
 SAME_BYTES = 8 - RADIUS
@@ -71,8 +72,9 @@ def spread(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
-    """Fingerprint words (uint64): a bit is set if it is set in over half of the rows of `hashes` (n, or n x words)."""
-    hashes = hashes.reshape(len(hashes), -1)
+    """Fingerprint words (uint64): a bit is set if it is set in over half of the rows of `hashes` (n, or n x words);
+    no rows give zero."""
+    hashes = hashes[:, None] if hashes.ndim == 1 else hashes
     width = hashes.shape[1] * 64
     total, step = np.zeros(width, np.int64), max(1, (1 << 22) // width)
     for i in range(0, len(hashes), step):
@@ -186,8 +188,8 @@ def _text_nodes(docs: DataFrame, text: str, extra: list[str]) -> DataFrame:
             index, wide = [], []
             for v in batch.column(text):
                 body = v.as_py() or ""
-                index.append(majority(spread(word_hashes(body), TABLES)).view(np.int64).tolist() or [0] * TABLES)
-                wide.append(majority(spread(shingle_hashes(body, SHINGLE), WIDE)).astype("<u8").tobytes() or bytes(8 * WIDE))
+                index.append(majority(spread(word_hashes(body), TABLES)).view(np.int64).tolist())
+                wide.append(majority(spread(shingle_hashes(body, SHINGLE), WIDE)).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], batch.column("id"),
                                               pa.array(index, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=schema.names)
 
@@ -205,6 +207,7 @@ def wide_limit(similarity: float = SIMILARITY) -> int:
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` less all but one of each group of near copies: the one with the least key stays (null last,
     then by the text's hash); fully equal rows count once. Texts move once, to meet the list of those that stay."""
+    docs, restored = set_aside(docs, key, text)
     prints = materialize(_text_nodes(docs, text, [key]))
     nodes = materialize(prints.groupBy("id").agg(F.first("index").alias("index"), F.first("wide").alias("wide")))
     tables = nodes.select("id", F.posexplode("index").alias("t", "f"))
@@ -221,4 +224,4 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
              .select(F.col("r.key").alias("_key"), F.col("r.id").alias("_id")))
     marked = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = marked.join(least, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_id") == F.col("_id")), "left_semi")
-    return kept.dropDuplicates([key, "_text_id"]).select(*docs.columns)
+    return restored(kept.dropDuplicates([key, "_text_id"]))

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from ..session import shared_dir
 from .arrow import map_arrow
+from .frames import set_aside
 from .substrings import BATCH, GRAM, Rolling, anchors, merged
 
 LENGTH = 400
@@ -235,6 +236,7 @@ def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """The rows with repeated strings cut out of their texts; a character that a cut splits goes. Null stays null."""
+    docs, restored = set_aside(docs, text)
     columns = docs.columns
     marked = _identified(docs, text)
     spans = _collected(repeated_spans(marked.select("tid", "nb", text), text, length))
@@ -253,6 +255,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             out[k] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    joined = marked.withColumnsRenamed({"tid": "_tid", "nb": "_nb"}).join(
-        spans.withColumnsRenamed({"tid": "_t", "nb": "_n", "spans": "_spans"}), (F.col("_tid") == F.col("_t")) & (F.col("_nb") == F.col("_n")), "left")
-    return map_arrow(joined.select(*[F.col(c) for c in columns], "_spans"), run, schema)
+    return restored(map_arrow(marked.join(spans, ["tid", "nb"], "left").select(*columns, "spans"), run, schema))
