@@ -76,7 +76,10 @@ def compact(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Plain text of a marked-up body: entities, hashtag elements, other tags."""
-    plain = unescape(F.coalesce(text, F.lit("")))
+    return _without_markup(unescape(F.coalesce(text, F.lit(""))))
+
+
+def _without_markup(plain: Column) -> Column:
     elements = F.arrays_zip(
         F.regexp_extract_all(plain, F.lit(HASHTAG), 0).alias("whole"),
         F.regexp_extract_all(plain, F.lit(HASHTAG), 1).alias("title"))
@@ -88,6 +91,17 @@ def clean_text(text: Column) -> Column:
     return strip(F.regexp_replace(tagged, TAG, ""))
 
 
+def unescape_each(texts: Column) -> Column:
+    """Resolve HTML entities in every item of an array; only arrays with an ampersand travel to Python."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        import html
+        return values.map(lambda v: [None if x is None else html.unescape(x) for x in v], na_action="ignore")
+
+    return F.coalesce(run(F.when(F.exists(texts, lambda t: F.coalesce(t.contains("&"), F.lit(False))), texts)), texts)
+
+
 def snippet(text: Column, term: Column, width: int = 80) -> Column:
     """`width // 2` characters on both sides of the first hit, else the first `width`."""
     return snippet_at(text, term, F.position(term, text), width)
@@ -115,15 +129,7 @@ def fill_title(title: Column, content: Column, limit: int = 500) -> Column:
 
 
 def distinct_tags(tags: Column) -> Column:
-    """Cleaned, non-empty tags in first-seen order."""
-    cleaned = F.transform(F.coalesce(tags, F.array().cast("array<string>")), _tag_text)
+    """Non-empty tags, cleaned like any text, in first-seen order."""
+    plain = unescape_each(F.coalesce(tags, F.array().cast("array<string>")))
+    cleaned = F.transform(plain, lambda t: _without_markup(F.coalesce(t, F.lit(""))))
     return F.array_distinct(F.filter(cleaned, lambda t: t != ""))
-
-
-def _tag_text(tag: Column) -> Column:
-    # Python calls are not possible inside a lambda, so the five common entities
-    # are resolved with built-ins here.
-    text = F.coalesce(tag, F.lit(""))
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return strip(F.regexp_replace(text, TAG, ""))

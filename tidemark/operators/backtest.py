@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bars import STOCK, by_stock
+from .bars import STOCK, adjusted, by_stock
 from .indicators import DEVIATION_MAX, VOLUME_RATIO_MAX, WARM_UP, features, fire
 
 DEFAULT_SETTING = {"volume_ratio_max": VOLUME_RATIO_MAX, "deviation_max": DEVIATION_MAX, "same_day": False,
@@ -17,8 +17,12 @@ DEFAULT_SETTING = {"volume_ratio_max": VOLUME_RATIO_MAX, "deviation_max": DEVIAT
 SWEPT = ("stock_id", "setting")
 
 
-def signals(bars: DataFrame, settings: list[dict] | None = None, exit_ema: int | None = None) -> DataFrame:
-    """Signal points per setting, with what a trade needs to start: next open, next day, bar count."""
+def signals(bars: DataFrame, settings: list[dict] | None = None, exit_ema: int | None = None,
+            adjust: str | None = "qfq") -> DataFrame:
+    """Signal points per setting, with what a trade needs to start: next open, next day, bar count. Bars of other
+    adjustments than `adjust` are left out, so that no window mixes them."""
+    if adjust and "adjust_type" in bars.columns:
+        bars = adjusted(bars, adjust)
     chosen = [{**DEFAULT_SETTING, **s} for s in (settings or [{}])]
     types = {"volume_ratio_max": "double", "deviation_max": "double", "same_day": "boolean", "hold": "int",
              "stop": "double"}
@@ -49,15 +53,18 @@ def entry_rule(start: str | None = None, end: str | None = None) -> Column:
 
 
 def backtest(bars: DataFrame, settings: list[dict] | None = None, exit_ema: int | None = None,
-             start: str | None = None, end: str | None = None) -> DataFrame:
-    """One row per completed trade and setting.
+             start: str | None = None, end: str | None = None, adjust: str | None = "qfq",
+             stocks: DataFrame | None = None) -> DataFrame:
+    """One row per completed trade and setting; of `stocks` (column stock_id) only, if given, such as those of a board.
 
     Entry at the open after the signal; from the second bar after it on the first of:
     low at or under the stop, close under its `exit_ema`-bar average (when asked for),
     end of the holding window or of the data. `stop` 0 switches the stop off.
     """
     longest = max([s.get("hold", DEFAULT_SETTING["hold"]) for s in (settings or [{}])])
-    points = signals(bars, settings, exit_ema)
+    if stocks is not None:
+        bars = bars.join(stocks.select("stock_id"), "stock_id", "left_semi")
+    points = signals(bars, settings, exit_ema, adjust)
     keys = SWEPT if len(settings or [{}]) > 1 else STOCK
     opened = F.when(entry_rule(start, end), F.struct(
         F.col("bar").alias("signal_bar"), F.col("trade_date").alias("signal_date"), "entry", "entry_date"))

@@ -198,10 +198,11 @@ def fire(rows: DataFrame, volume_ratio_max: Column | float = VOLUME_RATIO_MAX,
 
 
 def zzr(bars: DataFrame, volume_ratio_max: float = VOLUME_RATIO_MAX, deviation_max: float = DEVIATION_MAX,
-        same_day: bool = False, start_at: str | None = None, adjust: str | None = None) -> DataFrame:
+        same_day: bool = False, start_at: str | None = None, adjust: str | None = "qfq") -> DataFrame:
     """Bars with the ten point columns. Nothing looks ahead: a bar's point depends on
-    it and earlier bars only."""
-    if adjust:
+    it and earlier bars only. One adjustment is looked at (`qfq` unless another is named); `None` takes all rows as
+    they are, for bars that have one adjustment anyway or no such column."""
+    if adjust and "adjust_type" in bars.columns:
         bars = adjusted(bars, adjust)
     rows = fire(features(bars, start_at), volume_ratio_max, deviation_max, same_day)
     keep = [c for c in bars.columns if c not in ("stock_id", "trade_date")]

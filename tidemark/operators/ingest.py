@@ -71,24 +71,28 @@ def recent_jobs(jobs: DataFrame, n: int = 20) -> DataFrame:
 
 # -- stock master -----------------------------------------------------------------
 
-def merge_master(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged master with the change per row, counts). Codes of digits are padded to six;
-    rows without a name or with other codes are ignored."""
+def merge_master(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged master with the change per row, counts). Codes of digits are padded to six; rows without a name or with
+    other codes are ignored, and `total` counts the rows that are not. Of a repeated code the last row by `order` (else
+    in the order of arrival) counts. All columns of `existing` stay; new rows have NULL in those that nobody gave."""
     code = F.trim(F.col("code"))
-    clean = incoming.withColumn("name", F.trim("name")).filter(code.rlike(r"^\d+$") & (F.col("name") != "")).select(
-        F.when(F.length(code) < 6, F.lpad(code, 6, "0")).otherwise(code).alias("stock_code"),
-        F.col("name").alias("_name"))
-    clean = clean.groupBy("stock_code").agg(F.max("_name").alias("_name"))
-    merged = existing.select("stock_code", "stock_name").join(clean, "stock_code", "full_outer")
+    clean = incoming.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    clean = clean.withColumn("name", F.trim("name")).filter(code.rlike(r"^\d+$") & (F.col("name") != "")).select(
+        F.when(F.length(code) < 6, F.lpad(code, 6, "0")).otherwise(code).alias("stock_code"), F.col("name"), "_at")
+    last = clean.groupBy("stock_code").agg(F.max_by("name", "_at").alias("_name"), F.count(F.lit(1)).alias("_rows"))
+    merged = existing.join(last, "stock_code", "full_outer")
     change = (F.when(F.col("stock_name").isNull(), "imported")
               .when(F.col("_name").isNotNull() & (F.col("_name") != F.col("stock_name")), "updated")
               .otherwise("kept"))
-    out = merged.select("stock_code", F.coalesce("_name", "stock_name").alias("stock_name"),
-                        exchange_of(F.col("stock_code")).alias("exchange"), change.alias("change"))
+    out = merged.withColumn("change", change)
     counts = out.agg(F.count_if(F.col("change") == "imported").alias("imported"),
                      F.count_if(F.col("change") == "updated").alias("updated"),
-                     F.count(F.lit(1)).alias("total"))
-    return out, counts
+                     F.coalesce(F.sum("_rows"), F.lit(0)).alias("total"))
+    own = exchange_of(F.col("stock_code"))
+    out = out.withColumn("stock_name", F.coalesce("_name", "stock_name")).withColumn(
+        "exchange", F.coalesce("exchange", own) if "exchange" in existing.columns else own)
+    rest = [c for c in existing.columns if c not in ("stock_code", "stock_name", "exchange")]
+    return out.select("stock_code", "stock_name", "exchange", "change", *rest), counts
 
 
 # -- bars -------------------------------------------------------------------------

@@ -68,11 +68,7 @@ def detect_gaps(bars: DataFrame, calendar: DataFrame, stocks: DataFrame, start:
     positions = _positions(calendar)
     own = bars.select("stock_id", "trade_date").join(chosen.select("stock_id"), "stock_id", "left_semi")
     inside = _between(own, calendar, after_last=False)
-    silent = chosen.select("stock_id").join(bars.select("stock_id"), "stock_id", "left_anti")
-    total = positions.agg(F.count(F.lit(1)).cast("bigint").alias("n")).scalar()
-    never = (silent.withColumn("n", total).filter("n > 0")
-             .select("stock_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("pos")))
-    return (inside.unionByName(never).join(_small(positions), "pos").join(chosen, "stock_id")
+    return (inside.unionByName(_never(chosen, bars, positions)).join(_small(positions), "pos").join(chosen, "stock_id")
             .select("day", "stock_id", "code", "name"))
 
 
@@ -84,10 +80,22 @@ def _in_range(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return df
 
 
-def missing_days(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(stock_id, day) missing since the first bar, days after the last one included."""
+def missing_days(bars: DataFrame, calendar: DataFrame, stocks: DataFrame | None = None) -> DataFrame:
+    """(stock_id, day) missing since the first bar, days after the last one included. Of `stocks` (column id), those
+    without any bar miss every day."""
+    positions = _positions(calendar)
     missing = _between(bars.select("stock_id", "trade_date"), calendar, after_last=True)
-    return missing.join(_small(_positions(calendar)), "pos").select("stock_id", "day")
+    if stocks is not None:
+        missing = missing.unionByName(_never(stocks.select(F.col("id").alias("stock_id")), bars, positions))
+    return missing.join(_small(positions), "pos").select("stock_id", "day")
+
+
+def _never(chosen: DataFrame, bars: DataFrame, positions: DataFrame) -> DataFrame:
+    """(stock_id, pos): every trading day of stocks that have no bar."""
+    silent = chosen.select("stock_id").join(bars.select("stock_id"), "stock_id", "left_anti")
+    total = positions.agg(F.count(F.lit(1)).cast("bigint").alias("n")).scalar()
+    return (silent.withColumn("n", total).filter("n > 0")
+            .select("stock_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("pos")))
 
 
 def classify_gaps(gaps: DataFrame, source_bars: DataFrame, probed: DataFrame) -> DataFrame:

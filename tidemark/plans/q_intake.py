@@ -64,6 +64,21 @@ def _(t):
     return S.normalize_quote_rows(_raw_rows(t))[1]
 
 
+@query("s1_csv_reader", duck(f"""WITH raw AS ({NORMAL}) SELECT COALESCE(NULLIF(TRIM(code), ''), TRIM(stock_code)) AS stock_code, CAST(date AS DATE) AS trade_date,
+ COALESCE(NULLIF(adjust_type, ''), 'qfq') AS adjust_type, CAST(COALESCE(NULLIF(open, ''), close) AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low,
+ CAST(close AS DOUBLE) AS close, CAST(COALESCE(NULLIF(volume, ''), '0') AS DOUBLE) AS volume, CAST(amount AS DOUBLE) AS amount, CAST(turnover_rate AS DOUBLE) AS turnover_rate
+FROM raw WHERE close <> '' AND date <> 'soon'""", "bars"))
+def _(t):
+    """Files of two column orders: the first copies, then the second ones with prices that must not win, some of them no numbers."""
+    home = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    rows = _raw_rows(t)
+    columns = [c for c in rows.columns if c != "seq"]
+    rows.filter("high <> '9999'").select(*columns).write.csv(f"{home}/a", header=True)
+    late = rows.filter("high = '9999'").withColumn("low", F.when(F.expr("abs(hash(date)) % 2 = 0"), "n/a").otherwise(F.col("low")))
+    late.select(*reversed(columns)).write.csv(f"{home}/b", header=True)
+    return doubles(S.read_quotes_csv(t.spark, f"{home}/*")[0], *NUM)
+
+
 @query("s1_import_new_only", duck("""SELECT YEAR(trade_date) AS year, COUNT(*) AS imported FROM f_bars WHERE trade_date >= DATE '1996-01-01' AND DAY(trade_date) NOT IN (13, 31) GROUP BY 1""", "bars"))
 def _(t):
     bars, _names = S.normalize_quote_rows(_raw_rows(t))
@@ -99,14 +114,17 @@ def _master(t: Tables):
                             .otherwise(F.col("stock_name")).alias("name"))
     fresh = t.stocks.select(F.concat(F.lit("7"), F.lpad(i.cast("string"), 5, "0")).alias("code"), F.lit("fresh ").alias("name"))
     junk = t.stocks.select(F.concat(F.lit("x"), i.cast("string")).alias("code"), F.lit("junk").alias("name"))
-    return G.merge_master(t.stocks, known.unionByName(fresh).unionByName(junk))
+    # Known codes come twice; the second row, with the name that counts, is later though its name sorts first.
+    first = known.withColumns({"name": F.when(F.trim("name") != "", "zz older").otherwise(F.col("name")), "seq": F.lit(1)})
+    rest = known.unionByName(fresh).unionByName(junk).withColumn("seq", F.lit(2))
+    return G.merge_master(t.stocks, first.unionByName(rest), "seq")
 
 
 MASTER = """inc AS (SELECT stock_code, CASE WHEN id % 7 = 0 THEN '' WHEN id % 4 = 0 THEN 'new' || CAST(id AS VARCHAR) ELSE stock_name END AS name FROM f_stocks
   UNION ALL SELECT '7' || LPAD(CAST(id AS VARCHAR), 5, '0'), 'fresh' FROM f_stocks),
 mm AS (SELECT COALESCE(s.stock_code, i.stock_code) AS stock_code, COALESCE(i.name, s.stock_name) AS stock_name,
   CASE WHEN LEFT(COALESCE(s.stock_code, i.stock_code), 1) = '6' THEN 'SH' ELSE 'SZ' END AS exchange,
-  CASE WHEN s.stock_code IS NULL THEN 'imported' WHEN i.name <> s.stock_name THEN 'updated' ELSE 'kept' END AS change
+  CASE WHEN s.stock_code IS NULL THEN 'imported' WHEN i.name <> s.stock_name THEN 'updated' ELSE 'kept' END AS change, s.id
   FROM f_stocks s FULL OUTER JOIN (SELECT * FROM inc WHERE name <> '') i ON i.stock_code = s.stock_code)"""
 
 
@@ -115,7 +133,7 @@ def _(t):
     return _master(t)[0]
 
 
-@query("s4_merge_counts", duck(f"""WITH {MASTER} SELECT COUNT(*) FILTER (WHERE change = 'imported') AS imported, COUNT(*) FILTER (WHERE change = 'updated') AS updated, COUNT(*) AS total FROM mm""", "stocks"))
+@query("s4_merge_counts", duck(f"""WITH {MASTER} SELECT COUNT(*) FILTER (WHERE change = 'imported') AS imported, COUNT(*) FILTER (WHERE change = 'updated') AS updated, (SELECT COUNT(*) * 2 - COUNT(*) FILTER (WHERE stock_code LIKE '7%') FROM inc WHERE name <> '') AS total FROM mm""", "stocks"))
 def _(t):
     return _master(t)[1]
 
@@ -168,7 +186,7 @@ def _(t):
 
 
 def _payloads(t: Tables):
-    """Conversations as provider pages of up to five topics, in the three envelopes; every eighth page failed."""
+    """Conversations as provider pages of up to five topics, in six envelopes, two of them deep; every eighth page failed."""
     turn = F.col("turn")
     topic = F.struct(
         F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("topic_id"),
@@ -184,9 +202,21 @@ def _payloads(t: Tables):
     brief = F.to_json(F.struct((~bad).alias("ok"), F.struct(F.struct(lists.alias("items"), F.lit("cur").alias("next_end_time")).alias("result")).alias("data")))
     block = F.to_json(F.struct((~bad).alias("ok"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.to_json(F.struct(
         lists.alias("list"), F.lit(True).alias("has_more"))).alias("text"))).alias("content")).alias("result")))
-    kind = F.col("conv_id") % 3
+    deep = lists
+    for name in ("topics_brief", "data", "resp_data", "result", "data", "result"):
+        deep = F.struct(deep.alias(name))
+    deep = F.to_json(F.struct((~bad).alias("ok"), deep.alias("resp_data")))
+    inner = F.to_json(F.struct(F.struct(F.struct(lists.alias("items"), F.lit(False).alias("has_more"), F.lit("deep").alias("next_end_time"))
+                                        .alias("result")).alias("data")))
+    for _ in range(3):  # blocks within blocks within objects
+        inner = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(inner.alias("text"))).alias("content")).alias("data")).alias("result")))
+    inner = F.to_json(F.struct((~bad).alias("ok"), F.struct(F.array(F.struct(F.lit("no json").alias("text")), F.struct(inner.alias("text")))
+                                                          .alias("content")).alias("result")))
+    uids = F.transform(lists, lambda x: x.withField("topic_uid", x["topic_id"]).dropFields("topic_id"))
+    named = F.to_json(F.struct((~bad).alias("ok"), uids.alias("topics"), F.lit(1).alias("has_more"), F.lit(5).alias("next_end_time")))
+    forms = F.array(direct, brief, block, deep, inner, named)
     return pages.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("chunk").cast("string")).alias("page_id"),
-                        F.when(kind == 0, direct).when(kind == 1, brief).otherwise(block).alias("payload"))
+                        F.get(forms, (F.col("conv_id") % 6).cast("int")).alias("payload"))
 
 
 NOW = "2024-02-01 00:00:00"
@@ -206,14 +236,15 @@ PAGES = """pg AS (SELECT conv_id, turn // 5 AS chunk, CAST(conv_id AS VARCHAR) |
 
 
 @query("s7_payload_pages", f"""WITH {PAGES} SELECT page_id, conv_id % 8 = 7 AS rejected, CASE WHEN conv_id % 8 = 7 THEN 0 ELSE n END AS topics,
- CASE WHEN conv_id % 8 = 7 THEN NULL WHEN conv_id % 3 = 2 THEN TRUE ELSE n >= 5 END AS has_more, CASE WHEN conv_id % 3 = 1 THEN 'cur' END AS cursor FROM pg""")
+ CASE WHEN conv_id % 8 = 7 THEN NULL WHEN conv_id % 6 IN (2, 5) THEN TRUE WHEN conv_id % 6 = 4 THEN FALSE ELSE n >= 5 END AS has_more,
+ CASE conv_id % 6 WHEN 1 THEN 'cur' WHEN 4 THEN 'deep' END AS cursor FROM pg""")
 def _(t):
     pages = P.normalize_payloads(_payloads(t), NOW, page_size=5)[1]
     return pages.withColumn("topics", F.col("topics").cast("bigint"))
 
 
-@query("s8_page_cursors", f"""WITH {PAGES} SELECT page_id, CASE WHEN conv_id % 3 = 1 THEN 'cur' ELSE STRFTIME(TIMESTAMP '2024-01-01 10:00:00' + CAST(oldest AS INT) * INTERVAL 1 DAY - INTERVAL 1 MILLISECOND, '%Y-%m-%dT%H:%M:%S.%g+0800') END AS next_end_time,
- CASE WHEN conv_id % 3 = 2 THEN TRUE ELSE n >= 5 END AS has_more FROM pg WHERE conv_id % 8 <> 7""")
+@query("s8_page_cursors", f"""WITH {PAGES} SELECT page_id, CASE WHEN conv_id % 6 = 1 THEN 'cur' WHEN conv_id % 6 = 4 THEN 'deep' ELSE STRFTIME(TIMESTAMP '2024-01-01 10:00:00' + CAST(oldest AS INT) * INTERVAL 1 DAY - INTERVAL 1 MILLISECOND, '%Y-%m-%dT%H:%M:%S.%g+0800') END AS next_end_time,
+ CASE WHEN conv_id % 6 IN (2, 5) THEN TRUE WHEN conv_id % 6 = 4 THEN FALSE ELSE n >= 5 END AS has_more FROM pg WHERE conv_id % 8 <> 7""")
 def _(t):
     topics, pages = P.normalize_payloads(_payloads(t), NOW, page_size=5)
     return P.page_cursors(pages.filter("NOT rejected"), topics, 5)
@@ -410,9 +441,10 @@ def _(t):
     return _gaps(t)
 
 
-@query("g2_missing_days", gaps_sql("""SELECT f.stock_id, c.trade_date AS day FROM fl f JOIN cal c ON c.trade_date >= f.a LEFT JOIN gb g ON g.stock_id = f.stock_id AND g.trade_date = c.trade_date WHERE g.stock_id IS NULL"""))
+@query("g2_missing_days", gaps_sql("""SELECT s.id AS stock_id, c.trade_date AS day FROM f_grid_stocks s CROSS JOIN cal c LEFT JOIN fl f ON f.stock_id = s.id
+ LEFT JOIN gb g ON g.stock_id = s.id AND g.trade_date = c.trade_date WHERE g.stock_id IS NULL AND (f.a IS NULL OR c.trade_date >= f.a)"""))
 def _(t):
-    return Q.missing_days(t.grid, _weekdays(t))
+    return Q.missing_days(t.grid, _weekdays(t), t.grid_stocks)
 
 
 def _classified(t: Tables):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and tables that must outlive an executor.
 
-    The cluster names it in `spark.checkpoint.dir`. Only when that is unset
-    (tests, a laptop) is a folder of our own taken.
+    The cluster names it in `spark.checkpoint.dir`, or the program by `setCheckpointDir`. Where neither is done, a
+    folder of our own is taken in local mode only: on a cluster no machine sees another's.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

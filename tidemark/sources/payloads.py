@@ -1,5 +1,5 @@
-"""Provider payloads to topics. Three envelopes are understood, to a fixed depth: lists
-directly under the payload, under nested objects, and inside JSON text blocks."""
+"""Provider payloads to topics. A page is searched level by level, to whatever depth it has: the payload, objects
+nested in it, and JSON texts in content blocks at any of these places."""
 
 from __future__ import annotations
 
@@ -16,55 +16,69 @@ TOPIC_LISTS = ("topics", "topics_brief", "items", "list")
 NESTED = ("resp_data", "data", "result")
 BODIES = ("talk", "article", "question")
 TOPIC_URL = "https://wx.zsxq.com/topic/"
-DEPTH = 3
-
-
-def _paths(depth: int, root: str = "$") -> list[str]:
-    """Object paths that may hold the list, breadth first."""
-    found, level = [root], [root]
-    for _ in range(depth - 1):
-        level = [f"{path}.{name}" for path in level for name in NESTED]
-        found += level
-    return found
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _list_under(v: str, path: str) -> list[str]:
-    """For each list name: (list, has_more) when the object at `path` holds a topic list there."""
+def _object(x: str, path: str) -> str:
+    """The object at a path, NULL for anything else."""
+    return f"CASE WHEN try_variant_get({x}, '{path}', 'map<string,variant>') IS NOT NULL THEN try_variant_get({x}, '{path}', 'variant') END"
+
+
+def _text_at(x: str, path: str) -> str:
+    """The string at a path, NULL for anything else."""
+    return f"CASE WHEN schema_of_variant(try_variant_get({x}, '{path}', 'variant')) = 'STRING' THEN try_variant_get({x}, '{path}', 'string') END"
+
+
+def _truth(x: str) -> str:
+    """What a value of any kind means as a flag: empty and zero are false."""
+    kind = f"regexp_extract(schema_of_variant({x}), '^[A-Z]+', 0)"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {kind} = 'BOOLEAN' THEN try_variant_get({x}, '$', 'boolean')"
+            f" WHEN {kind} = 'VOID' THEN false WHEN {kind} = 'STRING' THEN try_variant_get({x}, '$', 'string') <> ''"
+            f" WHEN {kind} IN ('OBJECT', 'ARRAY') THEN to_json({x}) NOT IN ('{{}}', '[]')"
+            f" ELSE try_variant_get({x}, '$', 'double') <> 0 END")
+
+
+def _list_in(x: str) -> str:
+    """(list, more) of the first list in an object that may hold topics: empty, or with an item that has a `topic_id`."""
     picks = []
     for name in TOPIC_LISTS:
-        values = f"try_variant_get({v}, '{path}.{name}', 'array<variant>')"
+        values = f"try_variant_get({x}, '$.{name}', 'array<variant>')"
         picks.append(
             f"CASE WHEN {values} IS NOT NULL AND (size({values}) = 0"
-            f" OR exists({values}, t -> try_variant_get(t, '$.topic_id', 'string') IS NOT NULL))"
-            f" THEN named_struct('list', {values}, 'has_more', try_variant_get({v}, '{path}.has_more', 'boolean')) END")
-    return picks
+            f" OR exists({values}, t -> try_variant_get(t, '$.topic_id', 'variant') IS NOT NULL))"
+            f" THEN named_struct('list', {values}, 'more', try_variant_get({x}, '$.has_more', 'variant')) END")
+    return f"coalesce({', '.join(picks)})"
 
 
-def _cursor_under(v: str, path: str) -> str:
-    return f"nullif(try_variant_get({v}, '{path}.next_end_time', 'string'), '')"
+def _children(x: str) -> str:
+    """Objects to search next: nested ones, then the parsed texts of content blocks."""
+    nested = ", ".join(_object(x, f"$.{name}") for name in NESTED)
+    blocks = (f"transform(coalesce(try_variant_get({x}, '$.content', 'array<variant>'), array()),"
+              f" c -> try_parse_json({_text_at('c', '$.text')}))")
+    return f"concat(array_compact(array({nested})), filter({blocks}, b -> try_variant_get(b, '$', 'map<string,variant>') IS NOT NULL))"
 
 
-def _search(v: str) -> tuple[Column, Column]:
-    """(topic list with has_more, cursor) of a payload, in the order its objects are reached.
+def _search(v: str, text: str) -> tuple[Column, Column]:
+    """(list with `more`, cursor) of a payload, each from the first object that has it, breadth first.
 
-    Written as SQL text: several hundred small expressions parse far faster than they are
-    built one call at a time.
+    One step per level. A level needs an object and an object a brace, so the braces of the text (also as an escape in
+    a nested JSON text) bound the steps; steps beyond the last level find nothing to do.
     """
-    picks = [pick for path in _paths(DEPTH) for pick in _list_under(v, path)]
-    cursors = [_cursor_under(v, path) for path in _paths(DEPTH)]
-    inner = ", ".join(pick for sub in _paths(2) for pick in _list_under("b", sub))
-    marks = ", ".join(_cursor_under("b", sub) for sub in _paths(2))
-    for path in _paths(2):
-        # JSON texts of the content blocks, parsed.
-        blocks = (f"filter(transform(try_variant_get({v}, '{path}.content', 'array<variant>'),"
-                  f" c -> try_parse_json(try_variant_get(c, '$.text', 'string'))), b -> b IS NOT NULL)")
-        picks.append(f"get(filter(transform({blocks}, b -> coalesce({inner})), h -> h IS NOT NULL), 0)")
-        cursors.append(f"get(filter(transform({blocks}, b -> coalesce({marks})), h -> h IS NOT NULL), 0)")
-    return F.expr(f"coalesce({', '.join(picks)})"), F.expr(f"coalesce({', '.join(cursors)})")
+    hit = "struct<list: array<variant>, more: variant>"
+    braces = f"length({text}) - length(replace({text}, '{{', '')) + regexp_count({text}, '(?i)u007b')"
+    start = f"named_struct('now', array({v}), 'hit', CAST(NULL AS {hit}), 'cursor', CAST(NULL AS string))"
+    step = (f"named_struct('now', flatten(transform(s.now, x -> {_children('x')})),"
+            f" 'hit', coalesce(s.hit, get(filter(transform(s.now, x -> {_list_in('x')}), h -> h IS NOT NULL), 0)),"
+            f" 'cursor', coalesce(s.cursor, get(filter(transform(s.now, x -> {_text_at('x', '$.next_end_time')}), c -> c <> ''), 0)))")
+    found = f"aggregate(sequence(1, greatest(1, {braces})), {start}, (s, i) -> {step})"
+    # Without a list anywhere, `topics` of the payload itself counts, whatever its items are.
+    own = (f"named_struct('list', try_variant_get({v}, '$.topics', 'array<variant>'),"
+           f" 'more', try_variant_get({v}, '$.has_more', 'variant'))")
+    once = f"get(transform(array({found}), f -> named_struct('hit', coalesce(f.hit, {own}), 'cursor', f.cursor)), 0)"
+    return F.expr(f"{once}.hit"), F.expr(f"{once}.cursor")
 
 
 def normalize_payloads(payloads: DataFrame, now: str, page_size: int = 20, key: str = "page_id", column: str = "payload"
@@ -74,9 +88,9 @@ def normalize_payloads(payloads: DataFrame, now: str, page_size: int = 20, key:
     `payloads` has one JSON text per page; `now` is the UTC time given to topics without
     one. A page is parsed once into a variant; everything after that is navigation.
     """
-    parsed = payloads.select(F.col(key), F.try_parse_json(column).alias("v"))
+    parsed = payloads.select(F.col(key), F.col(column).alias("_text"), F.try_parse_json(column).alias("v"))
     v = F.col("v")
-    hit, cursor = _search("v")
+    hit, cursor = _search("v", "_text")
     failed = [F.coalesce(~_get(v, f"$.{flag}", "boolean"), F.lit(False)) for flag in ("succeeded", "ok")]
     found = parsed.select(key, (v.isNull() | failed[0] | failed[1]).alias("rejected"), hit.alias("hit"),
                           cursor.alias("cursor"))
@@ -85,7 +99,7 @@ def normalize_payloads(payloads: DataFrame, now: str, page_size: int = 20, key:
     n = F.coalesce(F.size(kept), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)
     pages = found.select(key, "rejected", n.alias("topics"),
-                         F.when(~F.col("rejected"), F.coalesce(F.col("hit.has_more"), n >= page_size)).alias("has_more"),
+                         F.when(~F.col("rejected"), F.coalesce(F.expr(_truth("hit.more")), n >= page_size)).alias("has_more"),
                          "cursor")
     return _topics(listed, key, now), pages
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,35 +27,50 @@ def _given(df: DataFrame, *names: str) -> Column:
 
 
 def read_quotes_csv(spark: SparkSession, path: str, mode: str = "permissive") -> tuple[DataFrame, DataFrame]:
-    """(bars, names) of CSV files with a header, columns in any order.
+    """(bars, names) of CSV files with a header, columns in any order and any order of their own per file.
 
-    Columns are matched by header name without scanning the data. `mode="failfast"` makes
-    a malformed date an error, `permissive` leaves such rows out of the bars.
+    Files are grouped by their header line (read from the head of each file; as many come to the driver as there are
+    files) and every group is read by its own header. Rows count in the order of file names and lines. `mode="failfast"`
+    makes a malformed date or number an error, `permissive` leaves such rows out of the bars.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8")
-    return normalize_quote_rows(raw.withColumn("seq", F.monotonically_increasing_id()), mode)
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    heads = (spark.read.text(path).select("value", file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"))
+             .where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    groups: dict[str, list[str]] = {}
+    for row in heads.collect():
+        groups.setdefault(row["header"], []).append(row["file"])
+    parts = []
+    for files in groups.values():
+        rows = spark.read.csv(files, header=True, inferSchema=False, encoding="UTF-8")
+        rows = rows.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in rows.columns})
+        given = [c for c in CSV_COLUMNS if c in rows.columns]
+        parts.append(rows.select(*given, F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at")).alias("seq")))
+    if not parts:
+        return normalize_quote_rows(spark.createDataFrame([], ", ".join(f"{c} string" for c in (*CSV_COLUMNS, "seq"))), mode)
+    return normalize_quote_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), mode)
 
 
 def normalize_quote_rows(raw: DataFrame, mode: str = "permissive", order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Text rows to bars keyed by code: rows without code, date or close are ignored, missing
     prices default to the close, missing amounts to 0, the adjustment to `qfq`; the first row
     per key wins. `names` holds the last non-empty name per code."""
-    def amount(name: str, kind: str) -> Column:
-        return F.coalesce(_given(raw, name), F.lit("0")).cast(kind)
-
+    strict = mode == "failfast"
     price = "decimal(18,6)"
     close = _given(raw, "close")
     day = _given(raw, "date")
+    numbers = {**{n: (F.coalesce(_given(raw, n), close), price) for n in ("open", "high", "low")}, "close": (close, price),
+               "volume": (F.coalesce(_given(raw, "volume"), F.lit("0")), "decimal(24,4)"),
+               "amount": (F.coalesce(_given(raw, "amount"), F.lit("0")), "decimal(24,4)"),
+               "turnover_rate": (F.coalesce(_given(raw, "turnover_rate"), F.lit("0")), "decimal(12,6)")}
     rows = raw.select(
         _given(raw, "code", "stock_code").alias("stock_code"), _given(raw, "name", "stock_name").alias("name"),
-        day.alias("_day"), (F.to_date(day) if mode == "failfast" else F.try_to_date(day)).alias("trade_date"),
-        *[F.coalesce(_given(raw, n), close).cast(price).alias(n) for n in ("open", "high", "low")],
-        close.cast(price).alias("close"), amount("volume", "decimal(24,4)").alias("volume"),
-        amount("amount", "decimal(24,4)").alias("amount"), amount("turnover_rate", "decimal(12,6)").alias("turnover_rate"),
-        F.coalesce(_given(raw, "adjust_type"), F.lit("qfq")).alias("adjust_type"), F.col(order).alias("seq"))
-    rows = rows.filter("stock_code IS NOT NULL AND _day IS NOT NULL AND close IS NOT NULL")
+        day.alias("_day"), (F.to_date(day) if strict else F.try_to_date(day)).alias("trade_date"),
+        *[(text.cast(kind) if strict else text.try_cast(kind)).alias(n) for n, (text, kind) in numbers.items()],
+        close.alias("_close"), F.coalesce(_given(raw, "adjust_type"), F.lit("qfq")).alias("adjust_type"), F.col(order).alias("seq"))
+    rows = rows.filter("stock_code IS NOT NULL AND _day IS NOT NULL AND _close IS NOT NULL")
     names = rows.filter("name IS NOT NULL").groupBy("stock_code").agg(F.max_by("name", "seq").alias("stock_name"))
-    bars = first_by_key(rows.filter("trade_date IS NOT NULL").drop("name", "_day"),
+    whole = " AND ".join(f"{n} IS NOT NULL" for n in ("trade_date", *numbers))
+    bars = first_by_key(rows.filter(whole).drop("name", "_day", "_close"),
                         ["stock_code", "trade_date", "adjust_type"], "seq")
     return bars.drop("seq"), names
 
