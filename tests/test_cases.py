@@ -35,13 +35,13 @@ def topic_frame(spark, rows):
 
 
 def test_code_extraction_skips_longer_runs(spark):
-    topics = topic_frame(spark, [("", "关注 600519 和 000001，排除 1234567"), ("SH600519", "sz.000002 x600519")])
+    topics = topic_frame(spark, [("", "盘前：600519、000001；单号 9876543 不算"), ("SH600519", "sz.000002 x600519")])
     got = {(r.topic_id, r.stock_code) for r in T.code_mentions(topics).collect()}
     assert got == {(0, "600519"), (0, "000001"), (1, "600519"), (1, "000002")}
 
 
 def test_alias_and_name_and_code_precedence(spark):
-    topics = topic_frame(spark, [("高澜股份董事长交流要点", "海外液冷订单增长"), ("300499", "高澜"), ("000660", "foreign code")])
+    topics = topic_frame(spark, [("下午与高澜管理层通话", "纪要明天发"), ("300499", "又见高澜"), ("000660", "listed elsewhere")])
     stocks = spark.createDataFrame([(1, "300499", "高澜股份")], "id bigint, stock_code string, stock_name string")
     none = spark.createDataFrame([], "topic_id bigint, stock_id bigint")
     links, _ = T.link_stocks(topics, stocks, T.alias_frame(spark), none)
@@ -61,29 +61,29 @@ def test_new_named_stock_is_created(spark):
 def test_keyword_normalisation_gives_one_link(spark):
     words = spark.createDataFrame([(i, k, n, "manual", True, False, i) for i, (k, n) in enumerate(T.SEED_WORDS)],
                                   "id bigint, keyword string, normalized_keyword string, category string, active boolean, deleted boolean, position bigint")
-    topics = topic_frame(spark, [("产品涨价", "")])
+    topics = topic_frame(spark, [("本周再度涨价", "")])
     got = T.keyword_matches(topics, words).collect()
     assert [(r.normalized_keyword, r.keyword) for r in got] == [("涨价", "涨价")]
 
 
 def test_emphasis_phrases_not_nouns(spark):
-    topics = topic_frame(spark, [("", "深信服继续看好，业绩超预期，翻10倍空间，强 CALL，务必重视，重点推荐，液冷订单")])
+    topics = topic_frame(spark, [("", "午后随笔：云桥数码依旧继续看好；利润超预期。翻10倍空间！强 CALL！务必重视，重点推荐；电缆排产")])
     terms = {r.term for r in T.emphasis_terms(topics).collect()}
     assert {"继续看好", "超预期", "翻10倍空间", "强call", "务必重视", "重点推荐"} <= terms
-    assert not terms & {"深信服", "液冷", "订单", "0倍空间", "10倍空间"}
+    assert not terms & {"云桥数码", "电缆", "排产", "0倍空间", "10倍空间"}
 
 
 def test_full_width_text_is_folded(spark):
-    topics = topic_frame(spark, [("", "强ＣＡＬＬ　５倍空间")])
+    topics = topic_frame(spark, [("", "收盘：强ＣＡＬＬ　５倍空间")])
     assert {r.term for r in T.emphasis_terms(topics).collect()} == {"强call", "5倍空间"}
     assert one(spark, text.normalize_term(F.lit("  ＡＢ　 c "))) == "AB c"
     assert one(spark, text.normalize_term(F.lit(" 　 "))) is None
 
 
 def test_search_needs_all_words_newest_first(spark):
-    topics = topic_frame(spark, [("深信服", "有望翻倍"), ("深信服翻倍", "继续跟踪"), ("深信服", "仅一个词")])
-    assert one(spark, text.split_terms(F.lit(" 深信服，翻倍, 深信服 "))) == ["深信服", "翻倍"]
-    pages = [L.search_topics(topics, ["深信服", "翻倍"], p, 1).collect() for p in (1, 2)]
+    topics = topic_frame(spark, [("云桥数码", "还能翻倍吗"), ("云桥数码翻倍", "周一复盘"), ("云桥数码", "只提到公司")])
+    assert one(spark, text.split_terms(F.lit(" 云桥数码，翻倍, 云桥数码 "))) == ["云桥数码", "翻倍"]
+    pages = [L.search_topics(topics, ["云桥数码", "翻倍"], p, 1).collect() for p in (1, 2)]
     assert [(p[0].id, p[0].total) for p in pages] == [(1, 2), (0, 2)]
 
 
@@ -210,6 +210,34 @@ def test_payload_envelopes(spark):
     assert cursors[0] == "2026-01-01T07:59:59.999+0800" and cursors[2] == "later"
 
 
+def test_payloads_of_any_depth(spark):
+    item = {"topic_id": None, "topic_uid": "u1", "text": "deep"}
+    page = {"items": [item], "has_more": 0, "next_end_time": "c"}
+    frames = []
+    for depth in range(9):
+        nested = page
+        for level in range(depth):
+            name = ("resp_data", "data", "result")[level % 3]
+            nested = {name: nested} if level % 2 else {"content": [{"text": 5}, {"text": json.dumps(nested)}]}
+        frames.append(nested)
+    topics, pages = P.normalize_payloads(payload_frame(spark, *frames), "2026-02-02 00:00:00")
+    assert sorted((r.page_id, r.topic_id) for r in topics.collect()) == [(d, "u1") for d in range(9)]
+    assert {(r.rejected, r.has_more, r.cursor) for r in pages.collect()} == {(False, False, "c")}
+
+
+def test_payload_without_a_marked_list(spark):
+    topics, pages = P.normalize_payloads(payload_frame(
+        spark, {"topics": [{"topic_uid": "a"}, {"topic_uid": "b"}], "has_more": "yes", "data": {"next_end_time": 7}},
+        {"data": {"items": [{"topic_uid": "a"}]}, "has_more": True}, {"data": {"list": []}, "topics": [{"topic_uid": "z"}]}), "2026-02-02 00:00:00")
+    assert sorted((r.page_id, r.topic_id) for r in topics.collect()) == [(0, "a"), (0, "b")]
+    assert {r.page_id: (r.topics, r.has_more, r.cursor) for r in pages.collect()} == {0: (2, True, None), 1: (0, True, None), 2: (0, False, None)}
+
+
+def test_tags_are_cleaned_like_texts(spark):
+    tags = F.array(F.lit("a&nbsp;b &#233;"), F.lit('<e type="hashtag" hid="1" title="%23x%20y%23"/>'), F.lit("<i>&amp;</i>"), F.lit(None).cast("string"), F.lit("a\xa0b é"))
+    assert one(spark, text.distinct_tags(tags)) == ["a\xa0b é", "#x y", "&"]
+
+
 def test_payload_shape_holds_no_values(spark):
     shape = {(r.path, r.kind, r.list_length) for r in P.payload_shape(payload_frame(spark, {"a": {"b": [1, 2]}, "secret": "s"})).collect()}
     assert shape == {("$", "object", None), ("$.a", "object", None), ("$.a.b", "list", 2), ("$.a.b[0]", "number", None), ("$.secret", "string", None)}
@@ -234,6 +262,8 @@ def test_gaps_mid_tail_head_and_silent(spark):
     assert got == sorted([(2, "600001")] + [(d, "600002") for d in range(7)])
     missing = sorted((r.day - day(0)).days for r in Q.missing_days(case[0], case[1]).collect())
     assert missing == [2, 5, 6]
+    every = sorted(((r.day - day(0)).days, r.stock_id) for r in Q.missing_days(*case).collect())
+    assert every == sorted([(d, 1) for d in (2, 5, 6)] + [(d, 2) for d in range(7)])
 
 
 def test_gaps_with_bars_outside_the_calendar(spark):
@@ -284,6 +314,48 @@ def test_csv_import_headers_and_defaults(spark, tmp_path):
         quotes.read_quotes_csv(spark, str(tmp_path / "q.csv"), mode="failfast")[0].collect()
 
 
+def test_csv_files_of_different_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,date,close,high\n600001,2026-01-05,10,11\n600001,2026-01-06,x,1\n600001,2026-01-07,5,?\n", "utf-8")
+    (tmp_path / "b.csv").write_text("high,close,date,code,extra\n99,98,2026-01-05,600001,e\n21,20,2026-01-06,600001,e\n", "utf-8")
+    bars, _ = quotes.read_quotes_csv(spark, str(tmp_path))
+    assert {(r.trade_date.day, int(r.close), int(r.high)) for r in bars.collect()} == {(5, 10, 11), (6, 20, 21)}
+
+
+def test_stock_master_keeps_rows_and_counts_arrivals(spark):
+    known = spark.createDataFrame([(7, "600001", "Old", "SH", "steel"), (8, "000002", "Same", "SZ", "cars")],
+                                  "id bigint, stock_code string, stock_name string, exchange string, industry string")
+    fresh = spark.createDataFrame([("600001", "Zed", 1), ("600001", "Alpha", 2), ("2", "Same", 3), ("9", "New", 4), ("x", "junk", 5), ("10", " ", 6)],
+                                  "code string, name string, seq int")
+    merged, counts = G.merge_master(known, fresh, "seq")
+    assert {r.stock_code: (r.stock_name, r.change, r.id, r.industry) for r in merged.collect()} == {
+        "600001": ("Alpha", "updated", 7, "steel"), "000002": ("Same", "kept", 8, "cars"), "000009": ("New", "imported", None, None)}
+    assert tuple(counts.first()) == (1, 1, 4)
+
+
+def test_old_mentions_add_no_lookup_rows(spark):
+    topics = spark.createDataFrame([(1, dt.datetime(1900, 1, 1)), (2, dt.datetime(2026, 1, 2))], "id bigint, published_at timestamp")
+    links = spark.createDataFrame([(1, 1), (2, 1)], "topic_id bigint, stock_id bigint")
+    bars = bars_frame(spark, [10, 11, 12])
+    assert E.day_lookup(bars, ["close"], E.earliest_start(topics)).count() == 3
+    got = {r.topic_id: r.trade_date for r in E.forward_asof(topics, links, bars, ["close"]).collect()}
+    assert got == {1: day(0), 2: day(1)}
+
+
+def test_other_adjustments_do_not_matter(spark):
+    bars = ramp(spark).withColumn("adjust_type", F.lit("qfq"))
+    more = bars.unionByName(bars.withColumns({"adjust_type": F.lit("hfq"), "close": F.col("close") * 3}))
+    columns = ["stock_id", "trade_date", "active", "signal", "mom"]
+    assert sorted(I.zzr(more).select(columns).collect()) == sorted(I.zzr(bars).select(columns).collect())
+
+
+def test_month_is_pushed_down(spark, tmp_path):
+    rows = [("a", dt.datetime(2026, 1, 31, 15, 59), 1), ("b", dt.datetime(2026, 1, 31, 16), 2), ("c", dt.datetime(2026, 2, 28, 16), 3)]
+    spark.createDataFrame(rows, "topic_id string, published_at timestamp, seq int").write.parquet(str(tmp_path / "t"))
+    sliced = G.month_slice(spark.read.parquet(str(tmp_path / "t")), "2026-02")
+    assert [r.topic_id for r in sliced.collect()] == ["b"]
+    assert "GreaterThanOrEqual(published_at" in sliced._jdf.queryExecution().toString()
+
+
 def test_keyword_csv(spark, tmp_path):
     words = spark.createDataFrame([(1, "涨价", "涨价", "manual", True, False)], "id bigint, keyword string, normalized_keyword string, category string, active boolean, deleted boolean")
     links = spark.createDataFrame([(1, 1)], "topic_id bigint, keyword_id bigint")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import exchange_of, is_eligible, is_excluded
 from ..functions.text import has_real_content
-from ..functions.times import month_of
+from ..functions.times import LOCAL_ZONE
 
 CLOSE_CUTOFF = "15:10"
 FRESH_MINUTES = 3
@@ -34,10 +37,11 @@ def _by_key(df: DataFrame, keys: list[str], pick, order: str) -> DataFrame:
 def import_topics(existing: DataFrame, incoming: DataFrame, order: str = "seq", reject_attachments: bool = False
                   ) -> tuple[DataFrame, DataFrame]:
     """(new topics, counts). A known id, a repeated id and, when asked, a topic without
-    readable content are skipped."""
+    readable content are skipped. Known ids go first: most of what a poll brings is known, and texts are big."""
     total = incoming.agg(F.count(F.lit(1)).alias("n"))
-    usable = incoming.filter(has_real_content(F.col("title"), F.col("content"))) if reject_attachments else incoming
-    fresh = first_by_key(usable, ["topic_id"], order).join(existing.select("topic_id"), "topic_id", "left_anti")
+    unknown = incoming.join(existing.select("topic_id"), "topic_id", "left_anti")
+    usable = unknown.filter(has_real_content(F.col("title"), F.col("content"))) if reject_attachments else unknown
+    fresh = first_by_key(usable, ["topic_id"], order)
     counts = fresh.agg(F.count(F.lit(1)).alias("imported")).withColumn("received", total.scalar()).select(
         "received", "imported", (F.col("received") - F.col("imported")).alias("skipped"))
     return fresh, counts
@@ -60,9 +64,15 @@ def sync_topics(existing: DataFrame, incoming: DataFrame, circles: DataFrame, in
 
 
 def month_slice(topics: DataFrame, month: str) -> DataFrame:
-    """Topics of one Beijing month (`YYYY-MM`), the last record per id."""
-    inside = topics.filter(month_of(F.col("published_at")) == F.lit(f"{month}-01").cast("date"))
-    return latest_by_key(inside, ["topic_id"], "seq")
+    """Topics of one Beijing month (`YYYY-MM`), the last record per id. The bounds are UTC times, so that the scan
+    sees a plain range of its column."""
+    year, number = map(int, month.split("-"))
+    zone = ZoneInfo(LOCAL_ZONE)
+    bounds = [dt.datetime(y, m, 1, tzinfo=zone).astimezone(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+              for y, m in ((year, number), (year + number // 12, number % 12 + 1))]
+    at = F.col("published_at")
+    start, end = (F.lit(b).cast(topics.schema["published_at"].dataType) for b in bounds)
+    return latest_by_key(topics.filter((at >= start) & (at < end)), ["topic_id"], "seq")
 
 
 def recent_jobs(jobs: DataFrame, n: int = 20) -> DataFrame:
