@@ -10,7 +10,7 @@ from tidemark.operators import backtest as K
 from tidemark.operators import events as E
 from tidemark.operators import quality as Q
 from tidemark.operators import stats as S
-from tidemark.operators.matching import contained_terms
+from tidemark.operators.matching import candidates, contained_terms
 from tidemark.plans.fixtures import Tables
 from tidemark.streaming import intake as Z
 
@@ -21,15 +21,27 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_matching_strategies_agree_with_brute_force(spark):
+def test_matching_against_brute_force(spark):
     rng = random.Random(7)
     texts = [(i, "".join(rng.choice("abé一二") for _ in range(rng.randint(0, 60)))) for i in range(60)]
     terms = sorted({"".join(rng.choice("abé一二") for _ in range(rng.randint(1, 5))) for _ in range(120)})
     want = sorted((i, t) for i, x in texts for t in terms if t in x)
     frame = spark.createDataFrame(texts, "topic_id int, text string")
     words = spark.createDataFrame([(t,) for t in terms], "term string")
-    for limits in ({"few": 10_000}, {"few": 0}, {"few": 0, "bounded": 0}):
-        assert rows(contained_terms(frame, words, **limits).select("topic_id", "term")) == want
+    assert rows(contained_terms(frame, words).select("topic_id", "term")) == want
+    assert contained_terms(frame, words.limit(0)).count() == 0
+
+
+def test_matching_with_a_short_name_and_a_hot_gram(spark):
+    texts = [(i, f"the the {i} " + ("一" if i == 7 else "") + ("thermos" if i % 50 == 0 else "")) for i in range(300)] + [(300, None), (301, "")]
+    frame = spark.createDataFrame(texts, "topic_id int, text string")
+    terms = ["一", "thermos", "the", "e ", "absent", "therm one"]
+    words = spark.createDataFrame([(t,) for t in [*terms, "the", "", None]], "term string")
+    want = sorted((i, t) for i, x in texts for t in terms if x and t in x)
+    assert rows(contained_terms(frame, words).select("topic_id", "term")) == want
+    # A term is filed under its rarest gram of the texts: "thermos" does not make a candidate of every "the".
+    filed = candidates(frame, spark.createDataFrame([("thermos",)], "term string"))
+    assert filed.count() == 6
 
 
 def test_exact_median_against_statistics(spark):

@@ -1,96 +1,61 @@
-"""Exact substring join: which dictionary terms occur in which texts.
+"""Exact substring join: which dictionary terms occur in which texts. One plan for dictionaries of any size.
 
-The dictionary may be a handful of aliases or a catalogue that grows with the data,
-so its size is measured first and one of three exact strategies is taken:
+Texts and terms are cut into character n-grams: three characters wide, or as wide as the term if it is shorter, so that
+short terms do not widen the search of the others. The grams of texts that some term has are kept once; each
+term is then filed under its rarest gram, by the number of *texts* that have it. A term with a gram that no text has
+is out at once. What meets at a gram is gathered into one list of candidates per text, and verified in the text's own row, so a
+text moves once, however many candidates it has.
 
-* up to `FEW` terms: each text is tested against the terms as a constant array;
-* up to `BOUNDED` terms: one multi-pattern automaton over the terms finds all of them in
-  a single pass over each text (an Arrow function; needs `pyahocorasick` on the workers);
-* beyond: distinct character n-grams of the texts are hash-joined with one chosen n-gram
-  per term and the candidates verified, so neither side is broadcast.
-
-The context of a hit is cut where the text is at hand; only (key, term, context) goes on,
-so texts are not repeated per hit nor shuffled with the hits.
+Neither the dictionary nor the texts come to the driver (only which of the three widths occur), and no side is
+broadcast unless Spark measures it small. A gram in very many texts is reduced by partial sums where it is counted,
+and its join can be split.
 """
 
 from __future__ import annotations
 
-import importlib.util
-import json
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import snippet, snippet_at
+from ..functions.text import snippet_at
+from ..session import materialize
 
-FEW = 128
-BOUNDED = 20_000
 GRAM = 3
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "topic_id", text: str = "text",
-                    term: str = "term", few: int = FEW, bounded: int = BOUNDED) -> DataFrame:
+                    term: str = "term") -> DataFrame:
     """(key, term, context) for every term that is a substring of the text. `key` is unique in `texts`."""
-    words = terms.select(F.col(term).alias("term")).filter("term IS NOT NULL AND term <> ''").distinct()
-    sample = [r[0] for r in words.limit(few + 1).collect()]
     base = texts.select(F.col(key), F.col(text).alias("text"))
-    if not sample:
-        return base.select(key, F.lit("").alias("term"), F.lit("").alias("context")).filter(F.lit(False))
-    if len(sample) <= few:
-        return _unpack(base, key, F.filter(_constant(sample), lambda t: F.contains(F.col("text"), t)))
-    known = [r[0] for r in words.limit(bounded + 1).collect()]
-    if len(known) <= bounded and importlib.util.find_spec("ahocorasick"):
-        return _unpack(base, key, _automaton(known)(F.col("text")))
-    return _by_join(base, words, key)
-
-
-def _unpack(texts: DataFrame, key: str, found: Column) -> DataFrame:
-    """One row per found term with its context; the text is searched once per term."""
-    placed = F.transform(found, lambda t: F.struct(t.alias("term"), F.position(t, F.col("text")).alias("at")))
-    hits = F.transform(placed, lambda p: F.struct(
-        p["term"].alias("term"), snippet_at(F.col("text"), p["term"], p["at"]).alias("context")))
-    return texts.select(key, F.inline(hits))
-
-
-def _automaton(known: list[str]):
-    """Arrow function: the distinct terms of each text."""
-
-    @F.arrow_udf("array<string>")
-    def find(values: pa.Array) -> pa.Array:
-        import ahocorasick
-        import pyarrow as pa
-        trie = ahocorasick.Automaton()
-        for word in known:
-            trie.add_word(word, word)
-        trie.make_automaton()
-        return pa.array([sorted({word for _, word in trie.iter(value or "")}) for value in values.to_pylist()],
-                        pa.list_(pa.string()))
-
-    return find
+    return base.join(candidates(base, terms, key, term), key).select(key, F.inline(found_terms(F.col("text"), F.col("terms"))))
 
 
-def _constant(values: list[str]) -> Column:
-    """A constant string array from one literal (folded once by the optimizer)."""
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
-
-
-def _grams(text: Column, width: int) -> Column:
+def candidates(texts: DataFrame, terms: DataFrame, key: str = "topic_id", term: str = "term") -> DataFrame:
+    """(key, terms): per text (column `text`) the terms whose rarest gram it has. Texts without any have no row."""
+    words = terms.select(F.col(term).alias("term")).filter("term IS NOT NULL AND term <> ''").distinct()
+    width = F.least(F.length("term"), F.lit(GRAM))
+    widths = sorted(r[0] for r in words.select(width).distinct().collect())
+    if not widths:
+        return texts.select(key, F.array().cast("array<string>").alias("terms")).filter(F.lit(False))
+    pieces = reduce(DataFrame.unionByName, [
+        words.filter(width == w).select("term", F.explode(grams(F.col("term"), w)).alias("gram")) for w in widths])
+    spread = texts.select(key, F.explode(F.concat(*[grams(F.col("text"), w) for w in widths])).alias("gram"))
+    met = materialize(spread.join(pieces.select("gram").distinct(), "gram"))
+    counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (pieces.join(counts, "gram", "left").groupBy("term")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+              .filter("r.n > 0").select("term", F.col("r.gram").alias("gram")))
+    return met.join(rarest, "gram").groupBy(key).agg(F.collect_set("term").alias("terms"))
+
+
+def found_terms(text: Column, terms: Column) -> Column:
+    """Array of (term, context) of those terms that the text contains; each is searched once."""
+    placed = F.transform(terms, lambda t: F.struct(t.alias("term"), F.position(t, text).alias("at")))
+    return F.transform(F.filter(placed, lambda p: p["at"] > 0), lambda p: F.struct(
+        p["term"].alias("term"), snippet_at(text, p["term"], p["at"]).alias("context")))
+
+
+def grams(text: Column, width: int) -> Column:
     """Distinct character n-grams: a look-ahead captures them at every position in one regex pass."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), 1))
-
-
-def _anchors(words: DataFrame, width: int) -> DataFrame:
-    """(term, anchor): each term's rarest n-gram within the dictionary."""
-    grams = words.withColumn("anchor", F.explode(_grams(F.col("term"), width)))
-    counts = grams.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    return grams.join(counts, "anchor").groupBy("term").agg(
-        F.min(F.struct("n", "anchor")).alias("a")).select("term", F.col("a.anchor").alias("anchor"))
-
-
-def _by_join(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    width = min(GRAM, words.agg(F.min(F.length("term"))).first()[0])
-    grams = texts.select(key, F.explode(_grams(F.col("text"), width)).alias("anchor"))
-    candidates = grams.join(_anchors(words, width), "anchor").select(key, "term")
-    return (texts.join(candidates, key).filter(F.contains(F.col("text"), F.col("term")))
-            .select(key, "term", snippet(F.col("text"), F.col("term")).alias("context")))

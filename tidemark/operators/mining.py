@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import exchange_of
 from ..functions.text import compact, normalize_term, snippet
 from ..session import materialize
-from .matching import contained_terms
+from .matching import candidates, contained_terms, found_terms
 
 # Code pattern, link confidences, mining limits, marker of hand-made links.
 CODE_PATTERN = r"(?iU)(?<!\d)(?:(?:SH|SZ)[.：:]?)?([036]\d{5})(?!\d)"
@@ -61,15 +63,18 @@ def topic_texts(topics: DataFrame) -> DataFrame:
 
 # -- stock mentions -------------------------------------------------------------
 
+def _codes(text: Column, pattern: str = CODE_PATTERN) -> Column:
+    """Array of (code, context) in the order of the text. Contexts are cut here, so the text is not repeated per hit."""
+    spelled = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("code"),
+                           F.regexp_extract_all(text, F.lit(pattern), 0).alias("term"))
+    return F.transform(spelled, lambda m: F.struct(m["code"].alias("code"), snippet(text, m["term"]).alias("context")))
+
+
 def code_mentions(topics: DataFrame, pattern: str = CODE_PATTERN) -> DataFrame:
     """Six-digit codes with an optional exchange prefix; the last spelling of a code counts."""
     texts = topic_texts(topics)
-    spelled = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("code"),
-                           F.regexp_extract_all("text", F.lit(pattern), 0).alias("term"))
-    # Contexts are cut before unpacking, so the text is not repeated per hit.
-    hits = F.transform(spelled, lambda m: F.struct(
-        m["code"].alias("code"), snippet(F.col("text"), m["term"]).alias("context")))
-    found = texts.filter(F.col("text").rlike(pattern)).select("topic_id", F.posexplode(hits).alias("pos", "m"))
+    found = texts.filter(F.col("text").rlike(pattern)).select(
+        "topic_id", F.posexplode(_codes(F.col("text"), pattern)).alias("pos", "m"))
     latest = found.groupBy("topic_id", F.col("m.code").alias("stock_code")).agg(
         F.max_by("m.context", "pos").alias("context"))
     return latest.select("topic_id", "stock_code", F.lit("").alias("stock_name"),
@@ -95,20 +100,39 @@ def alias_mentions(topics: DataFrame, aliases: DataFrame) -> DataFrame:
     return _named_mentions(topics, aliases, ALIAS_CONFIDENCE, 2)
 
 
+def catalogue_names(stocks: DataFrame) -> DataFrame:
+    return stocks.filter("stock_name <> ''").select(
+        F.col("stock_name").alias("term"), "stock_code", "stock_name", F.col("id").alias("position"))
+
+
 def name_mentions(topics: DataFrame, stocks: DataFrame) -> DataFrame:
     """Full names of the catalogue."""
-    names = stocks.filter("stock_name <> ''").select(
-        F.col("stock_name").alias("term"), "stock_code", "stock_name", F.col("id").alias("position"))
-    return _named_mentions(topics, names, NAME_CONFIDENCE, 3)
+    return _named_mentions(topics, catalogue_names(stocks), NAME_CONFIDENCE, 3)
 
 
 def best_mentions(topics: DataFrame, stocks: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row per (topic, code): code before alias before name. A bare code that the named
-    catalogue does not know is dropped. Reduced map-side, so a popular stock is no hot spot."""
-    mentions = code_mentions(topics).unionByName(alias_mentions(topics, aliases)).unionByName(
-        name_mentions(topics, stocks))
+    catalogue does not know is dropped. Aliases and names are one dictionary and codes are read from the same row, so
+    a text is searched once; rows are reduced map-side, so a popular stock is no hot spot."""
+    texts = topic_texts(topics)
+    money = "decimal(5,4)"
+    names = reduce(DataFrame.unionByName, [
+        frame.select("term", "stock_code", "stock_name", "position").withColumns(
+            {"rank": F.lit(rank), "confidence": F.lit(confidence).cast(money)})
+        for frame, confidence, rank in ((aliases, ALIAS_CONFIDENCE, 2), (catalogue_names(stocks), NAME_CONFIDENCE, 3))])
+    text, nothing = F.col("text"), F.lit(None).cast("string")
+    named = F.transform(found_terms(text, F.coalesce("terms", F.array().cast("array<string>"))), lambda m: F.struct(
+        m["term"].alias("term"), nothing.alias("code"), m["context"].alias("mention_context"), F.lit(0).alias("pos")))
+    coded = F.transform(_codes(text), lambda m, i: F.struct(
+        nothing.alias("term"), m["code"].alias("code"), m["context"].alias("mention_context"), i.alias("pos")))
+    hits = texts.join(candidates(texts, names), "topic_id", "left").select("topic_id", F.inline(F.concat(named, coded)))
+    # Of several spellings of a code the last counts.
+    found = hits.join(names, "term", "left").select(
+        "topic_id", F.coalesce("code", "stock_code").alias("stock_code"), F.coalesce("rank", F.lit(1)).alias("rank"),
+        F.coalesce("position", -F.col("pos").cast("bigint")).alias("position"), F.coalesce("stock_name", F.lit("")).alias("stock_name"),
+        F.coalesce("confidence", F.lit(CODE_CONFIDENCE).cast(money)).alias("confidence"), "mention_context")
     fields = ("rank", "position", "stock_name", "confidence", "mention_context")
-    best = mentions.groupBy("topic_id", "stock_code").agg(F.min(F.struct(*fields)).alias("m")).select(
+    best = found.groupBy("topic_id", "stock_code").agg(F.min(F.struct(*fields)).alias("m")).select(
         "topic_id", "stock_code", "m.*")
     known = stocks.select("stock_code", F.lit(True).alias("_known")).distinct()
     return (best.join(known, "stock_code", "left")

@@ -131,9 +131,7 @@ def _(t):
 @query("j6_substring_join", duck("""SELECT d.doc_id, n.stock_name AS term FROM documents d JOIN f_long_names n ON CONTAINS(d.text, n.stock_name)""",
                                  "benchmark_words", "long_names"))
 def _(t):
-    # The hash-join strategy for unbounded dictionaries, whatever the size here.
-    hits = contained_terms(t.raw("documents"), t.long_names.select(F.col("stock_name").alias("term")), key="doc_id",
-                           few=0, bounded=0)
+    hits = contained_terms(t.raw("documents"), t.long_names.select(F.col("stock_name").alias("term")), key="doc_id")
     return hits.select("doc_id", "term")
 
 
