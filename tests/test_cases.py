@@ -380,6 +380,18 @@ def test_dictionary_changes(spark):
     assert [(r.word, r.reason) for r in rejected.collect()] == [("mined", "mined")]
 
 
+def test_dictionary_changes_in_order(spark):
+    words = spark.createDataFrame([(1, "a", "a", "manual", True, False), (2, "b", "b", "manual", True, False)],
+                                  "id bigint, keyword string, normalized_keyword string, category string, active boolean, deleted boolean")
+    steps = [("create", "n", None), ("deactivate", "n", None), ("create", "m", None), ("rename", "m", "m2"), ("rename", "a", "b"),
+             ("rename", "b", "c"), ("rename", "a", "b"), ("delete", "b", None), ("activate", "a", None), ("rename", "c", " "), ("seed", "b", None)]
+    changes = spark.createDataFrame([(i, *x) for i, x in enumerate(steps)], "seq bigint, action string, word string, new_word string")
+    kept, rejected = T.merge_dictionary(words, changes)
+    assert {r.normalized_keyword: (r.id, r.active, r.deleted) for r in kept.collect()} == {
+        "n": (None, False, False), "m2": (None, True, False), "c": (2, True, False), "b": (1, False, True)}
+    assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(4, "conflict"), (8, "unknown"), (9, "empty")]
+
+
 def test_pending_batches_resume(spark):
     stocks = spark.createDataFrame([(i, f"60000{i}", "n" if i != 3 else "") for i in range(6)], "id bigint, stock_code string, stock_name string")
     manifest = spark.createDataFrame([("600000", "completed", "w"), ("600001", "failed", "w"), ("600002", "completed", "other")], "stock_code string, status string, window string")

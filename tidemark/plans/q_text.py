@@ -266,16 +266,23 @@ def _(t):
     return _annotated(t)[2].select("topic_id", "stock_id")
 
 
-CHANGES = """ch AS (SELECT p_partkey AS seq, CASE p_partkey % 6 WHEN 0 THEN 'seed' WHEN 1 THEN 'create' WHEN 2 THEN 'rename' WHEN 3 THEN 'activate' WHEN 4 THEN 'deactivate' ELSE 'delete' END AS action,
+FIXED = "fixed target"
+CHANGES = f"""ch AS (SELECT p_partkey AS seq, CASE p_partkey % 6 WHEN 0 THEN 'seed' WHEN 1 THEN 'create' WHEN 2 THEN 'rename' WHEN 3 THEN 'activate' WHEN 4 THEN 'deactivate' ELSE 'delete' END AS action,
    SPLIT_PART(p_name, ' ', 1 + CAST(p_partkey % 2 AS INT)) || CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE '' END AS word,
-   CASE WHEN p_partkey % 6 = 2 THEN p_type END AS new_word FROM part)"""
-JUDGED = CHANGES + """,
-la AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY CASE WHEN action = 'seed' THEN 0 ELSE 1 END DESC, seq DESC) AS n FROM ch) q WHERE n = 1),
-bo AS (SELECT k.*, l.seq, l.action, l.word, l.new_word, k.id IS NOT NULL AS present, CASE WHEN l.action = 'rename' THEN l.new_word END AS target
-  FROM f_words k FULL OUTER JOIN la l ON l.word = k.normalized_keyword),
-ju AS (SELECT b.*, CASE WHEN present AND category = 'auto' AND action IN ('create','rename','activate','deactivate','delete') THEN 'mined'
-   WHEN NOT present AND action IN ('rename','activate','deactivate','delete') THEN 'unknown'
-   WHEN action = 'rename' AND target <> word AND (target IN (SELECT normalized_keyword FROM f_words) OR (SELECT COUNT(*) FROM bo c WHERE c.target = b.target) > 1) THEN 'conflict' END AS reason FROM bo b)"""
+   CASE WHEN p_partkey % 24 = 2 THEN '{FIXED}' WHEN p_partkey % 6 = 2 THEN p_type || ' ' || CAST(p_partkey AS VARCHAR) END AS new_word FROM part
+  UNION ALL SELECT -1, 'create', '{FIXED}', NULL),
+cn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY seq) AS n FROM ch)"""
+# A word's changes one after the other; no rename aims at a word of another change, except at the one that always exists.
+JUDGED = CHANGES + f""",
+st AS (SELECT w.word, 0::BIGINT AS n, k.id IS NOT NULL AS ex, k.category, k.active, COALESCE(k.deleted, FALSE) AS deleted, NULL::BIGINT AS seq, NULL::VARCHAR AS action,
+   NULL::VARCHAR AS new_word, NULL::VARCHAR AS reason FROM (SELECT DISTINCT word FROM ch) w LEFT JOIN f_words k ON k.normalized_keyword = w.word
+  UNION ALL SELECT word, n, CASE WHEN r IS NOT NULL THEN ex WHEN action = 'rename' THEN FALSE ELSE ex OR action IN ('seed', 'create') END,
+   CASE WHEN r IS NOT NULL OR (action = 'seed' AND ex AND (deleted OR category <> 'general')) THEN category ELSE 'manual' END,
+   CASE WHEN r IS NOT NULL OR (action = 'seed' AND ex) OR action = 'rename' THEN active ELSE action IN ('seed', 'create', 'activate') END,
+   CASE WHEN r IS NOT NULL OR (action = 'seed' AND ex) THEN deleted WHEN action IN ('seed', 'create') THEN FALSE ELSE deleted OR action = 'delete' END,
+   seq, action, new_word, r FROM (SELECT s.word, c.n, s.ex, s.category, s.active, s.deleted, c.seq, c.action, c.new_word,
+    CASE WHEN c.action = 'seed' THEN NULL WHEN s.ex AND s.category = 'auto' THEN 'mined' WHEN c.action = 'create' THEN NULL WHEN NOT s.ex THEN 'unknown'
+     WHEN c.action = 'rename' AND c.new_word = '{FIXED}' THEN 'conflict' END AS r FROM st s JOIN cn c ON c.word = s.word AND c.n = s.n + 1) q)"""
 
 
 def _changed(t: Tables):
@@ -284,22 +291,21 @@ def _changed(t: Tables):
     word = F.concat(F.lit("  "), pick, F.when(n % 5 == 0, (n % 50).cast("string")).otherwise(""))
     action = F.element_at(F.array(*[F.lit(a) for a in ("seed", "create", "rename", "activate", "deactivate", "delete")]),
                           (n % 6 + 1).cast("int"))
-    changes = t.raw("part").select(n.alias("seq"), action.alias("action"), word.alias("word"),
-                                   F.when(n % 6 == 2, F.col("p_type")).alias("new_word"))
-    return T.merge_dictionary(t.words, changes)
+    aim = F.when(n % 24 == 2, FIXED).when(n % 6 == 2, F.concat_ws(" ", "p_type", n.cast("string")))
+    changes = t.raw("part").select(n.cast("bigint").alias("seq"), action.alias("action"), word.alias("word"), aim.alias("new_word"))
+    first = t.spark.createDataFrame([(-1, "create", FIXED, None)], changes.schema)
+    return T.merge_dictionary(t.words, changes.unionByName(first))
 
 
-@query("t11_merge_dictionary", duck(f"""WITH {JUDGED}
-SELECT normalized AS normalized_keyword, category, active, deleted FROM (SELECT CASE WHEN reason IS NULL AND action = 'rename' THEN target ELSE COALESCE(normalized_keyword, word) END AS normalized,
- CASE WHEN NOT present OR (reason IS NULL AND action <> 'seed') THEN 'manual' ELSE category END AS category,
- CASE WHEN reason IS NULL AND (action IN ('create','activate') OR NOT present) THEN TRUE WHEN reason IS NULL AND action IN ('deactivate','delete') THEN FALSE ELSE active END AS active,
- CASE WHEN reason IS NULL AND action = 'create' THEN FALSE WHEN reason IS NULL AND action = 'delete' THEN TRUE ELSE COALESCE(deleted, FALSE) END AS deleted
- FROM ju WHERE present OR (reason IS NULL AND action IN ('seed','create'))) q""", "words"))
+@query("t11_merge_dictionary", duck(f"""WITH RECURSIVE {JUDGED}
+SELECT normalized_keyword, category, active, COALESCE(deleted, FALSE) AS deleted FROM f_words WHERE normalized_keyword NOT IN (SELECT word FROM ch)
+UNION ALL SELECT word, category, active, deleted FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY word ORDER BY n DESC) AS last FROM st) q WHERE last = 1 AND ex
+UNION ALL SELECT new_word, 'manual', active, deleted FROM st WHERE action = 'rename' AND reason IS NULL""", "words"))
 def _(t):
-    return _changed(t)[0].select("normalized_keyword", "category", "active", "deleted")
+    return _changed(t)[0].select("normalized_keyword", "category", "active", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
-@query("t11_rejected_changes", duck(f"WITH {JUDGED} SELECT seq, action, word, reason FROM ju WHERE reason IS NOT NULL", "words"))
+@query("t11_rejected_changes", duck(f"WITH RECURSIVE {JUDGED} SELECT seq, action, word, reason FROM st WHERE reason IS NOT NULL", "words"))
 def _(t):
     return _changed(t)[1].select("seq", "action", "word", "reason")
 
