@@ -21,8 +21,9 @@ from oracle import compare, duck_connection
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import (bpe, components, hilbert, masked_lm, packing, quality, queries, secret_scan, simhash, substrings,
+from tidemark.llm import (bpe, hilbert, masked_lm, packing, quality, queries, secret_scan, simhash, substrings,
                           suffix_dedup, url_filter, weighted)
+from tidemark.operators import components
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in is that for it was on are as with they at be this from have or by one had not but what all".split()

@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from ..session import materialize
 from .arrow import map_arrow
-from .components import components
 from .frames import set_aside
 
 RADIUS = 3
