@@ -10,6 +10,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -67,7 +68,8 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 def session():
     from tidemark.session import build_session
     spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                   "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+                                                   "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+                                                   "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-oracle-", dir="/tmp")})
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

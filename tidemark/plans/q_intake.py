@@ -571,14 +571,17 @@ def _folder(t: Tables) -> str:
 
 @query("p1_stream_topics", "SELECT 'd' || CAST(doc_id AS VARCHAR) AS topic_id, source AS author FROM documents WHERE doc_id % 9 <> 5")
 def _(t):
-    files = Z.read_stream(t.spark, t.dir, t.raw("documents").schema, "documents.parquet")
+    folder = _folder(t)
+    # Three files, one per micro-batch; then a run with a new state folder sees them all again.
+    t.raw("documents").repartition(3, "doc_id").write.parquet(f"{folder}/in")
+    files = Z.read_stream(t.spark, f"{folder}/in", t.raw("documents").schema, files_per_batch=1)
     body = F.when(F.col("doc_id") % 9 == 5, "#file%20name#").otherwise(F.col("text"))
     once = files.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("topic_id"), F.lit("").alias("title"),
                         body.alias("content"), F.col("source").alias("author"), F.col("doc_id").alias("seq"))
     twice = once.unionByName(once.withColumns({"author": F.lit("again"), "seq": F.col("seq") + 10000000}))
-    folder = _folder(t)
-    Z.stream_topics(twice, f"{folder}/topics", f"{folder}/state").awaitTermination()
-    return t.spark.read.schema(twice.schema).parquet(f"{folder}/topics").select("topic_id", "author")
+    for state in ("state", "state2"):
+        Z.stream_topics(twice, f"{folder}/topics", f"{folder}/{state}").awaitTermination()
+    return Z.current_topics(t.spark, f"{folder}/topics", twice.schema).select("topic_id", "author")
 
 
 BAR_SCHEMA = "stock_id bigint, trade_date date, adjust_type string, close double"
@@ -588,10 +591,13 @@ BAR_SCHEMA = "stock_id bigint, trade_date date, adjust_type string, close double
 (SELECT l_suppkey AS stock_id, CAST(l_shipdate AS DATE) AS trade_date, ARG_MIN(l_extendedprice, l_orderkey * 10 + l_linenumber) AS first, ARG_MAX(l_extendedprice, l_orderkey * 10 + l_linenumber) AS last FROM lineitem GROUP BY 1, 2) q""")
 def _(t):
     from pyspark.sql.types import StructType
-    files = Z.read_stream(t.spark, t.dir, t.raw("lineitem").schema, "lineitem.parquet")
+    # Two micro-batches, days dealt out whole: the order of files is not the order of rows.
+    folder = _folder(t)
+    t.raw("lineitem").repartition(2, F.to_date("l_shipdate")).write.parquet(f"{folder}/in")
+    files = Z.read_stream(t.spark, f"{folder}/in", t.raw("lineitem").schema, files_per_batch=1)
     rows = files.select(F.col("l_suppkey").alias("stock_id"), F.to_date("l_shipdate").cast("string").alias("date"),
                         F.lit("qfq").alias("adjust_type"), F.col("l_extendedprice").alias("close"),
                         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    schema, folder = StructType.fromDDL(BAR_SCHEMA), _folder(t)
+    schema = StructType.fromDDL(BAR_SCHEMA)
     Z.stream_bars(rows, f"{folder}/bars", f"{folder}/state", lambda batch: AS_OF, schema).awaitTermination()
     return Z.current_bars(t.spark, f"{folder}/bars", schema).select("stock_id", "trade_date", "close")

@@ -1,6 +1,7 @@
-"""Continuous intake. Each micro-batch is written under its own number and overwritten
-on a replay, so a lost executor or a restarted query never doubles rows. Keys are
-checked against the table itself, so nothing is dropped for being late."""
+"""Continuous intake. Each micro-batch is written under its run and number and overwritten
+on a replay, so a lost executor or a restarted query never doubles rows. A run is a streaming
+state folder: one with a new state folder gets a number of its own and touches nothing that
+others wrote. Keys are checked against all that is stored, so nothing is dropped for being late."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import has_real_content
 from ..operators.ingest import first_by_key, latest_by_key, upsert_bars
@@ -28,12 +29,31 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, glob: str |
     return reader.parquet(path)
 
 
-def _earlier(spark: SparkSession, sink: str, schema: StructType, batch_id: int) -> DataFrame:
-    """What the batches before this one wrote."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    stored = spark.read.schema(schema).option("basePath", sink).parquet(f"{sink}/batch=*")
-    return stored.filter(F.col("batch") < batch_id)
+def _runs(spark: SparkSession, sink: str) -> list[str]:
+    """Names of the runs that have written, by number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/run=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getName().removeprefix("run=") for f in found or ())
+
+
+def _run_of(spark: SparkSession, sink: str, checkpoint: str) -> str:
+    """`number-id` of the run that the state folder belongs to; a new one comes after all others."""
+    own = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+    runs = _runs(spark, sink)
+    return next((r for r in runs if r.endswith(own)), f"{len(runs):06d}-{own}")
+
+
+def _stored(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """All rows that were written, with their run and batch."""
+    if not _runs(spark, sink):
+        return spark.createDataFrame([], schema).withColumns({"run": F.lit(""), "batch": F.lit(0)})
+    kept = StructType([*schema.fields, StructField("run", StringType()), StructField("batch", IntegerType())])
+    return spark.read.schema(kept).option("basePath", sink).parquet(f"{sink}/run=*/batch=*")
+
+
+def _earlier(spark: SparkSession, sink: str, schema: StructType, run: str, batch_id: int) -> DataFrame:
+    """What others and the batches before this one wrote; a replayed batch does not see itself."""
+    return _stored(spark, sink, schema).filter((F.col("run") != run) | (F.col("batch") < batch_id))
 
 
 def _start(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None],
@@ -49,10 +69,12 @@ def stream_topics(stream: DataFrame, sink: str, checkpoint: str, order: str = "s
     schema = stream.schema
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        usable = batch.filter(has_real_content(F.col("title"), F.col("content")))
-        known = _earlier(batch.sparkSession, sink, schema, batch_id).select("topic_id")
-        fresh = first_by_key(usable, ["topic_id"], order).join(known, "topic_id", "left_anti")
-        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        run = _run_of(batch.sparkSession, sink, checkpoint)
+        known = _earlier(batch.sparkSession, sink, schema, run, batch_id).select("topic_id")
+        unknown = batch.join(known, "topic_id", "left_anti")
+        usable = unknown.filter(has_real_content(F.col("title"), F.col("content")))
+        fresh = first_by_key(usable, ["topic_id"], order)
+        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{sink}/run={run}/batch={batch_id}")
 
     return _start(stream, checkpoint, body, available_now)
 
@@ -66,18 +88,23 @@ def stream_bars(stream: DataFrame, sink: str, checkpoint: str, as_of: Callable[[
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        existing = _current(_earlier(spark, sink, schema, batch_id)).select(*schema.names)
+        run = _run_of(spark, sink, checkpoint)
+        existing = _current(_earlier(spark, sink, schema, run, batch_id)).select(*schema.names)
         changes, _counts = upsert_bars(existing, batch, as_of(batch_id))
-        changes.select(*schema.names).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        changes.select(*schema.names).write.mode("overwrite").parquet(f"{sink}/run={run}/batch={batch_id}")
 
     return _start(stream, checkpoint, body, available_now)
 
 
 def _current(log: DataFrame) -> DataFrame:
-    return latest_by_key(log, list(BAR_KEYS), "batch")
+    return latest_by_key(log.withColumn("_written", F.struct("run", "batch")), list(BAR_KEYS), "_written")
 
 
 def current_bars(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
     """The bar table: the newest accepted row per key."""
-    log = spark.read.schema(schema).option("basePath", sink).parquet(f"{sink}/batch=*")
-    return _current(log).select(*schema.names)
+    return _current(_stored(spark, sink, schema)).select(*schema.names)
+
+
+def current_topics(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """The topic table."""
+    return _stored(spark, sink, schema).select(*schema.names)
