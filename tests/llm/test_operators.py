@@ -72,8 +72,9 @@ def test_url_rules_ties_and_empty_tables(spark):
     assert {r.verdict for r in none} == {"block"}
 
 
-def test_url_query_against_sql(spark):
-    assert compare(spark, duck_connection(SF), "op1_url_filters", SF) is None
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    assert compare(spark, duck_connection(SF), name, SF) is None
 
 
 # -- 2. Sharding ---------------------------------------------------------------------

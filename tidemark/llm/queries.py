@@ -56,6 +56,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(counted, quality.fences(counted)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+ORACLES["op5_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+g AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8) q),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) q, range(8) AS o(k) WHERE n > 1 GROUP BY r),
+c AS (SELECT r, doc_id, lang, source, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+   - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
+v AS (SELECT r, lang, source, base_failed, unnest([{', '.join(f"{{'m': '{m}', 'v': (1000 * {c}) // greatest(n_words, 1), 'slack': {s}}}" for m, (c, s) in quality.METRICS.items())}], recursive := true) FROM j),
+b AS (SELECT *, (v >> greatest(length(bin(v)) - {quality.LEAD}, 0)) << greatest(length(bin(v)) - {quality.LEAD}, 0) AS b FROM v WHERE NOT base_failed),
+o AS (SELECT lang, source, m, b, count(*) OVER s AS s_all, count(*) OVER l AS l_all, row_number() OVER (s ORDER BY b) AS s_at,
+  row_number() OVER (l ORDER BY b) AS l_at, row_number() OVER (g ORDER BY b) AS g_at, count(*) OVER g AS g_all FROM b
+  WINDOW s AS (PARTITION BY lang, source, m), l AS (PARTITION BY lang, m), g AS (PARTITION BY m)),
+qs AS (SELECT lang, source, m, max(s_all) AS n, {', '.join(f"min(b) FILTER (s_at * 100 >= {q} * s_all) AS q{q}" for q in quality.QUARTILES)} FROM o GROUP BY ALL),
+ql AS (SELECT lang, m, max(l_all) AS n, {', '.join(f"min(b) FILTER (l_at * 100 >= {q} * l_all) AS q{q}" for q in quality.QUARTILES)} FROM o GROUP BY ALL),
+qg AS (SELECT m, {', '.join(f"min(b) FILTER (g_at * 100 >= {q} * g_all) AS q{q}" for q in quality.QUARTILES)} FROM o GROUP BY ALL),
+f AS (SELECT qs.lang, qs.source, m, CASE WHEN qs.n >= {quality.MIN_GROUP} THEN qs.q75 WHEN ql.n >= {quality.MIN_GROUP} THEN ql.q75 ELSE qg.q75 END AS hi,
+  CASE WHEN qs.n >= {quality.MIN_GROUP} THEN qs.q25 WHEN ql.n >= {quality.MIN_GROUP} THEN ql.q25 ELSE qg.q25 END AS lo
+  FROM qs JOIN ql USING (m) JOIN qg USING (m) WHERE qs.lang IS NOT DISTINCT FROM ql.lang),
+bad AS (SELECT DISTINCT v.r FROM v JOIN f ON v.m = f.m AND v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source
+  WHERE v.v > f.hi + {quality.SPREAD} * (f.hi - f.lo) + v.slack)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM j"""
+
+
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
