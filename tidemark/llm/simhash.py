@@ -11,7 +11,8 @@ nodes are filed again under more positions (five bytes, then blocks of six, then
 argument: exact), which leaves lists of 512 nodes at most, so the work grows with the nodes and not with the square of a group.
 
 Texts beyond radius 3: `near_copies` takes `TABLES` independent fingerprints over the set of words as index, and
-verifies by the angle between two wide fingerprints over 5-word shingles (similarity of 0.8 or more, less the spread of the estimate).
+verifies by the angle between two wide fingerprints over 5-word shingles (similarity of 0.8 or more, less the spread of the estimate). Its lists
+are linked to representatives and not paired (see `linked_copies`).
 
 Defined results: a null text is an empty one; a text without words has the fingerprint zero, linked like any other; a
 text with fewer words than a shingle is one shingle; null ids never name a component unless all its ids are null.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,7 @@ SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
 TABLES = 4
 WIDE = 8  # words of 64 bits of the fingerprint that verifies
+ROUNDS = 8
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -124,17 +126,28 @@ def same_bytes(a: Column, b: Column) -> Column:
                for p in range(8))
 
 
-def candidate_pairs(nodes: DataFrame, verify: bool = True) -> DataFrame:
-    """(a, b) with a < b: pairs of ids that agree in the guaranteed minimum of bytes and, with `verify`, differ in at most
-    RADIUS bits. `nodes`: id, t (table), f (fingerprint, bigint); one row per (t, id)."""
+def _filed(nodes: DataFrame) -> DataFrame:
+    """Each node under every group of positions: id, t (table), f (fingerprint, bigint), mask."""
+    masks = [F.lit(_signed(_bytes_mask(g))) for g in position_groups()]
+    return nodes.select("id", "t", "f", F.explode(F.array(*masks)).alias("mask"))
+
+
+def _lists(filed: DataFrame) -> DataFrame:
+    """With the list a row is in and its number of rows, for lists of two and more. A list's name is a hash; a collision
+    only adds candidates that the tally throws out."""
+    keyed = filed.select("id", "t", "f", "mask", F.xxhash64("t", "mask", F.col("f").bitwiseAND(F.col("mask"))).alias("list"))
+    sizes = keyed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(sizes, "list")
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) with a < b: pairs of ids that agree in the guaranteed minimum of bytes and differ in at most RADIUS bits.
+    `nodes`: id, t (table), f (fingerprint, bigint); one row per (t, id)."""
     masks = [_bytes_mask(g) for g in position_groups()]
     found: DataFrame | None = None
-    filed = nodes.select("id", "t", "f", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    filed = _filed(nodes)
     while True:
-        # A list's name is a hash; a collision only adds candidates that the tally throws out.
-        keyed = filed.select("id", "t", "f", "mask", F.xxhash64("t", "mask", F.col("f").bitwiseAND(F.col("mask"))).alias("list"))
-        sizes = keyed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        lists = materialize(keyed.join(sizes, "list"))
+        lists = materialize(_lists(filed))
         children = {m: finer_masks(m) for m in masks}
         last = not any(children.values())
         short = lists if last else lists.where(F.col("n") <= LIST)
@@ -142,8 +155,7 @@ def candidate_pairs(nodes: DataFrame, verify: bool = True) -> DataFrame:
         pairs = left.join(right, (F.col("l.list") == F.col("r.list")) & (F.col("l.t") == F.col("r.t"))
                           & (F.col("l.id") < F.col("r.id")))
         pairs = pairs.where(same_bytes(F.col("l.f"), F.col("r.f")) >= SAME_BYTES)
-        if verify:
-            pairs = pairs.where(F.bit_count(F.col("l.f").bitwiseXOR(F.col("r.f"))) <= RADIUS)
+        pairs = pairs.where(F.bit_count(F.col("l.f").bitwiseXOR(F.col("r.f"))) <= RADIUS)
         pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         found = pairs if found is None else found.union(pairs)
         if last or lists.where(F.col("n") > LIST).isEmpty():
@@ -179,9 +191,9 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _text_nodes(docs: DataFrame, text: str, extra: list[str]) -> DataFrame:
-    """Extra columns, id (hash of the text), index (array of TABLES fingerprints), wide (binary) of each text."""
+    """Extra columns, id (hash of the text), index (array of TABLES fingerprints), wide (array of WIDE words) of each text."""
     schema = T.StructType([*[docs.schema[c] for c in extra], T.StructField("id", T.LongType()),
-                           T.StructField("index", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType())])
+                           T.StructField("index", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +201,9 @@ def _text_nodes(docs: DataFrame, text: str, extra: list[str]) -> DataFrame:
             for v in batch.column(text):
                 body = v.as_py() or ""
                 index.append(majority(spread(word_hashes(body), TABLES)).view(np.int64).tolist())
-                wide.append(majority(spread(shingle_hashes(body, SHINGLE), WIDE)).astype("<u8").tobytes())
+                wide.append(majority(spread(shingle_hashes(body, SHINGLE), WIDE)).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], batch.column("id"),
-                                              pa.array(index, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=schema.names)
+                                              pa.array(index, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=schema.names)
 
     body = F.coalesce(F.col(text), F.lit(""))
     return map_arrow(docs.select(*extra, F.xxhash64(body).alias("id"), body.alias(text)), run, schema)
@@ -204,19 +216,49 @@ def wide_limit(similarity: float = SIMILARITY) -> int:
     return round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
 
 
+def _alike(f: Column, g: Column, v: Column, w: Column, limit: int) -> Column:
+    """The tally reaches the minimum and the wide fingerprints differ in few bits."""
+    differing = sum(F.bit_count(F.get(v, F.lit(i)).bitwiseXOR(F.get(w, F.lit(i)))) for i in range(WIDE))
+    return (same_bytes(f, g) >= SAME_BYTES) & (differing <= limit)
+
+
+def linked_copies(nodes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): links between texts (id, index, wide) that connect each group of near copies.
+
+    Near copies share many lists, and a group of thousands would give millions of pairs. So a list is not paired: its rows
+    are held against one of them (another one in each list); those alike are linked to it, the others go into
+    the next round with a row of their own. A round makes at most one pair per row. After `ROUNDS` rounds what is left of a
+    list is unlike everything it met, and is paired out.
+    """
+    wide = nodes.select("id", "wide")
+    rows = materialize(_lists(_filed(nodes.select("id", F.posexplode("index").alias("t", "f")))).select("list", "id", "f"))
+    links = []
+    for _ in range(ROUNDS):
+        heads = rows.groupBy("list").agg(F.min(F.struct(F.xxhash64("list", "id").alias("o"), "id", "f")).alias("h")).select(
+            "list", F.col("h.id").alias("head"), F.col("h.f").alias("g"))
+        met = rows.join(heads, "list").where("id <> head")
+        met = met.join(wide, "id").join(wide.select(F.col("id").alias("head"), F.col("wide").alias("_wide")), "head")
+        met = materialize(met.select("list", "id", "f", "head", _alike(
+            F.col("f"), F.col("g"), F.col("wide"), F.col("_wide"), limit).alias("alike")))
+        links.append(met.where("alike").select(F.col("head").alias("a"), F.col("id").alias("b")))
+        rows = met.where("NOT alike").select("list", "id", "f")
+        if rows.isEmpty():
+            break
+    else:
+        full = rows.join(wide, "id")
+        other = full.select("list", F.col("id").alias("_id"), F.col("f").alias("g"), F.col("wide").alias("_wide"))
+        links.append(full.join(other, "list").where((F.col("id") < F.col("_id")) & _alike(
+            F.col("f"), F.col("g"), F.col("wide"), F.col("_wide"), limit)).select(F.col("id").alias("a"), F.col("_id").alias("b")))
+    return reduce(DataFrame.union, links).distinct()
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` less all but one of each group of near copies: the one with the least key stays (null last,
     then by the text's hash); fully equal rows count once. Texts move once, to meet the list of those that stay."""
     docs, restored = set_aside(docs, key, text)
     prints = materialize(_text_nodes(docs, text, [key]))
     nodes = materialize(prints.groupBy("id").agg(F.first("index").alias("index"), F.first("wide").alias("wide")))
-    tables = nodes.select("id", F.posexplode("index").alias("t", "f"))
-    pairs = candidate_pairs(tables, verify=False)
-    a = nodes.select(F.col("id").alias("a"), F.col("wide").alias("wa"))
-    b = nodes.select(F.col("id").alias("b"), F.col("wide").alias("wb"))
-    differing = sum(F.bit_count(F.conv(F.substring(F.hex("wa"), 16 * i + 1, 16), 16, -10).cast("bigint").bitwiseXOR(
-        F.conv(F.substring(F.hex("wb"), 16 * i + 1, 16), 16, -10).cast("bigint"))) for i in range(WIDE))
-    links = pairs.join(a, "a").join(b, "b").where(differing <= wide_limit(similarity)).select("a", "b")
+    links = linked_copies(nodes, wide_limit(similarity))
     groups = components(links)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("id").alias("id"))
     least = (prints.select(key, "id").join(groups, F.col("id") == F.col("node"), "left")
