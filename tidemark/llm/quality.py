@@ -28,6 +28,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_GROUP = 200
 SPREAD = 4
+BROADCAST_GROUPS = 50_000
 LEAD = 7  # bits of a value that its bucket keeps
 QUARTILES = (25, 75)
 # Feature: value in thousandths from the counts; slack in thousandths, so that a narrow group rejects no ordinary text.
@@ -129,8 +130,10 @@ def fences(counted: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP)
 
     slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, (_, v) in METRICS.items()])
     fence = pick(75) + spread * (pick(75) - pick(25)) + slack
-    return joined.withColumn("fence", fence).groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"fence_{m}") for m in METRICS])
+    limits = materialize(joined.withColumn("fence", fence).groupBy("lang", "source").agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"fence_{m}") for m in METRICS]))
+    # Counted, so the hint stands on a known size; with more groups texts and fences meet by a shuffle.
+    return F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
