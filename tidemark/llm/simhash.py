@@ -217,9 +217,10 @@ def wide_limit(similarity: float = SIMILARITY) -> int:
 
 
 def _alike(f: Column, g: Column, v: Column, w: Column, limit: int) -> Column:
-    """The tally reaches the minimum and the wide fingerprints differ in few bits."""
+    """The tally reaches what a list promises (no radius stands behind these fingerprints, so not more is asked) and the
+    wide fingerprints differ in few bits."""
     differing = sum(F.bit_count(F.get(v, F.lit(i)).bitwiseXOR(F.get(w, F.lit(i)))) for i in range(WIDE))
-    return (same_bytes(f, g) >= SAME_BYTES) & (differing <= limit)
+    return (same_bytes(f, g) >= len(position_groups()[0])) & (differing <= limit)
 
 
 def linked_copies(nodes: DataFrame, limit: int) -> DataFrame:
