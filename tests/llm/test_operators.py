@@ -499,6 +499,28 @@ def test_near_copies(spark):
     assert sorted((r.text or "") for r in kept.collect() if r.doc_id is None) == ["", "lonely"]
     assert simhash.near_copies(df.limit(0)).count() == 0
 
+def jaccard(a, b, words=5):
+    cut = [{tuple(t.split()[i:i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in (a, b)]
+    return len(cut[0] & cut[1]) / len(cut[0] | cut[1])
+
+
+def fresh(rng, n):
+    return " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+
+
+def test_near_copies_by_added_and_cut_text(spark):
+    rng = random.Random(31)
+    pairs = []
+    for k in range(120):
+        body = fresh(rng, 80 + k)
+        words = body.split()
+        n = len(words) - 4
+        other = body + " " + fresh(rng, n // 4) if k % 2 else " ".join(words[:len(words) - n // 5])
+        assert 0.8 <= jaccard(body, other) <= 0.85
+        pairs += [body, other]
+    kept = {r.doc_id for r in simhash.near_copies(docs_of(spark, pairs)).collect()}
+    assert kept == set(range(0, 240, 2))
+
 
 # -- 9. Weighted sampling ------------------------------------------------------------
 

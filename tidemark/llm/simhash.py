@@ -10,9 +10,11 @@ Equal fingerprints are one node, so exact copies cost nothing. A list with more
 nodes are filed again under more positions (five bytes, then blocks of six, then of three bits, by the same pigeonhole
 argument: exact), which leaves lists of 512 nodes at most, so the work grows with the nodes and not with the square of a group.
 
-Texts beyond radius 3: `near_copies` takes `TABLES` independent fingerprints over the set of words as index, and
-verifies by the angle between two wide fingerprints over 5-word shingles (similarity of 0.8 or more, less the spread of the estimate). Its lists
-are linked to representatives and not paired (see `linked_copies`).
+Texts beyond radius 3: `near_copies` files every text under `BANDS` keys, each the hash of `ROWS` minima over its set of
+five-word shingles (independent hash functions). Two sets of Jaccard similarity s share a list with probability
+1 - (1 - s^ROWS)^BANDS: at 0.8 all but 3 in a million pairs do (see `missed`). What shares a list is verified by the exact
+Jaccard similarity of the shingle sets. Lists are linked to representatives first and paired only in what is left (see
+`linked_copies`).
 
 Defined results: a null text is an empty one; a text without words has the fingerprint zero, linked like any other; a
 text with fewer words than a shingle is one shingle; null ids never name a component unless all its ids are null.
@@ -20,10 +22,10 @@ text with fewer words than a shingle is one shingle; null ids never name a compo
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,7 @@ SAME_BYTES = 8 - RADIUS
 LIST = 512
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES = 4
-WIDE = 8  # words of 64 bits of the fingerprint that verifies
+BANDS, ROWS = 24, 4
 ROUNDS = 8
 
 
@@ -60,11 +61,6 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())], np.uint64)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """XXH64 of the different words."""
-    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode("utf-8", "surrogatepass").lower().split())], np.uint64)
-
-
 def spread(hashes: np.ndarray, words: int) -> np.ndarray:
     """Each hash stretched to `words` independent ones."""
     z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -190,66 +186,73 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     return prints.join(named.join(least, "component").select("f", "component_id"), "f").select(key, "f", "component_id")
 
 
-def _text_nodes(docs: DataFrame, text: str, extra: list[str]) -> DataFrame:
-    """Extra columns, id (hash of the text), index (array of TABLES fingerprints), wide (array of WIDE words) of each text."""
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """The lists a set of shingles is in: per band, the hash of its minima. No shingles are a set of their own."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 4096):
+        low = np.minimum(low, spread(shingles[i:i + 4096], BANDS * ROWS).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(band.astype("<u8").tobytes(), k) for k, band in enumerate(low.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def missed(similarity: float = SIMILARITY, shared: int = 1) -> float:
+    """The probability that two sets of this similarity share fewer than `shared` lists."""
+    one = similarity ** ROWS
+    return sum(comb(BANDS, k) * one ** k * (1 - one) ** (BANDS - k) for k in range(shared))
+
+
+def _text_arrays(docs: DataFrame, text: str, extra: list[str], name: str, made: Callable[[np.ndarray], list[int]]) -> DataFrame:
+    """Extra columns, id (hash of the text) and the array that `made` gives for the set of shingles."""
     schema = T.StructType([*[docs.schema[c] for c in extra], T.StructField("id", T.LongType()),
-                           T.StructField("index", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
+                           T.StructField(name, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, wide = [], []
-            for v in batch.column(text):
-                body = v.as_py() or ""
-                index.append(majority(spread(word_hashes(body), TABLES)).view(np.int64).tolist())
-                wide.append(majority(spread(shingle_hashes(body, SHINGLE), WIDE)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], batch.column("id"),
-                                              pa.array(index, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=schema.names)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                arrays = [made(np.unique(shingle_hashes(v.as_py() or "", SHINGLE))) for v in part.column(text)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in extra], part.column("id"),
+                                                  pa.array(arrays, pa.list_(pa.int64()))], names=schema.names)
 
     body = F.coalesce(F.col(text), F.lit(""))
     return map_arrow(docs.select(*extra, F.xxhash64(body).alias("id"), body.alias(text)), run, schema)
 
 
-def wide_limit(similarity: float = SIMILARITY) -> int:
-    """Differing bits of wide fingerprints that similarity (Jaccard) allows, plus one and a half times their spread."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * WIDE
-    return round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+def _shared(filed: DataFrame) -> DataFrame:
+    """The rows in lists of two and more, with the number n of rows in the list."""
+    return filed.join(filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "list")
 
 
-def _alike(f: Column, g: Column, v: Column, w: Column, limit: int) -> Column:
-    """The tally reaches what a list promises (no radius stands behind these fingerprints, so not more is asked) and the
-    wide fingerprints differ in few bits."""
-    differing = sum(F.bit_count(F.get(v, F.lit(i)).bitwiseXOR(F.get(w, F.lit(i)))) for i in range(WIDE))
-    return (same_bytes(f, g) >= len(position_groups()[0])) & (differing <= limit)
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) with their exact Jaccard distance and whether they reach the similarity; two empty sets are equal."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_t")), "b").join(
+        sets.select(F.col("id").alias("a"), F.col("shingles").alias("_s")), "a")
+    same = F.size(F.array_intersect("_s", "_t"))
+    counted = both.select("a", "b", same.alias("_same"), (F.size("_s") + F.size("_t") - same).alias("_all"))
+    return counted.select("a", "b", (F.col("_same") >= F.lit(similarity) * F.col("_all") - 1e-9).alias("alike"),
+                          F.when(F.col("_all") == 0, 0.0).otherwise(1 - F.col("_same") / F.col("_all")).alias("distance"))
 
 
-def linked_copies(nodes: DataFrame, limit: int) -> DataFrame:
-    """(a, b): links between texts (id, index, wide) that connect each group of near copies.
+def linked_copies(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between texts in the same list (rows: list, id; sets: id, shingles) that connect each group of near copies.
 
     Near copies share many lists, and a group of thousands would give millions of pairs. So a list is not paired: its rows
-    are held against one of them (another one in each list); those alike are linked to it, the others go into
-    the next round with a row of their own. A round makes at most one pair per row. After `ROUNDS` rounds what is left of a
-    list is unlike everything it met, and is paired out.
+    are held against one of them; those alike are linked to it, the others go into the next round with a row of their
+    own. A round makes at most one pair per row. After `ROUNDS` rounds what is left of a list is paired out.
     """
-    wide = nodes.select("id", "wide")
-    rows = materialize(_lists(_filed(nodes.select("id", F.posexplode("index").alias("t", "f")))).select("list", "id", "f"))
     links = []
     for _ in range(ROUNDS):
-        heads = rows.groupBy("list").agg(F.min(F.struct(F.xxhash64("list", "id").alias("o"), "id", "f")).alias("h")).select(
-            "list", F.col("h.id").alias("head"), F.col("h.f").alias("g"))
-        met = rows.join(heads, "list").where("id <> head")
-        met = met.join(wide, "id").join(wide.select(F.col("id").alias("head"), F.col("wide").alias("_wide")), "head")
-        met = materialize(met.select("list", "id", "f", "head", _alike(
-            F.col("f"), F.col("g"), F.col("wide"), F.col("_wide"), limit).alias("alike")))
-        links.append(met.where("alike").select(F.col("head").alias("a"), F.col("id").alias("b")))
-        rows = met.where("NOT alike").select("list", "id", "f")
+        heads = rows.groupBy("list").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("h")).select(
+            "list", F.col("h.id").alias("a"))
+        met = materialize(rows.join(heads, "list").where("id <> a").select("list", "a", F.col("id").alias("b")))
+        checked = materialize(verified(met.select("a", "b").distinct(), sets, similarity))
+        links.append(checked.where("alike").select("a", "b"))
+        rows = materialize(met.join(checked.where("NOT alike"), ["a", "b"]).select("list", F.col("b").alias("id")))
         if rows.isEmpty():
             break
     else:
-        full = rows.join(wide, "id")
-        other = full.select("list", F.col("id").alias("_id"), F.col("f").alias("g"), F.col("wide").alias("_wide"))
-        links.append(full.join(other, "list").where((F.col("id") < F.col("_id")) & _alike(
-            F.col("f"), F.col("g"), F.col("wide"), F.col("_wide"), limit)).select(F.col("id").alias("a"), F.col("_id").alias("b")))
+        pairs = rows.join(rows.select("list", F.col("id").alias("b")), "list").where("id < b").select(F.col("id").alias("a"), "b")
+        links.append(verified(pairs.distinct(), sets, similarity).where("alike").select("a", "b"))
     return reduce(DataFrame.union, links).distinct()
 
 
@@ -257,9 +260,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """The rows of `docs` less all but one of each group of near copies: the one with the least key stays (null last,
     then by the text's hash); fully equal rows count once. Texts move once, to meet the list of those that stay."""
     docs, restored = set_aside(docs, key, text)
-    prints = materialize(_text_nodes(docs, text, [key]))
-    nodes = materialize(prints.groupBy("id").agg(F.first("index").alias("index"), F.first("wide").alias("wide")))
-    links = linked_copies(nodes, wide_limit(similarity))
+    prints = materialize(_text_arrays(docs, text, [key], "bands", band_keys))
+    nodes = materialize(prints.groupBy("id").agg(F.first("bands").alias("bands")))
+    rows = materialize(_shared(nodes.select("id", F.explode("bands").alias("list"))).select("list", "id"))
+    filed = rows.select("id")
+    copies = docs.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(filed.distinct().withColumnRenamed("id", "_id"), "_id", "left_semi")
+    sets = materialize(_text_arrays(copies.dropDuplicates(["_id"]), text, [], "shingles", lambda x: x.view(np.int64).tolist()))
+    links = linked_copies(rows, sets, similarity)
     groups = components(links)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("id").alias("id"))
     least = (prints.select(key, "id").join(groups, F.col("id") == F.col("node"), "left")
