@@ -521,6 +521,39 @@ def test_near_copies_by_added_and_cut_text(spark):
     kept = {r.doc_id for r in simhash.near_copies(docs_of(spark, pairs)).collect()}
     assert kept == set(range(0, 240, 2))
 
+def test_near_copies_in_chains(spark, monkeypatch):
+    rng = random.Random(32)
+    texts = []
+    for _ in range(40):  # a window that moves on: neighbours are alike, versions further apart are not
+        words = fresh(rng, 300).split()
+        texts += [" ".join(words[k * 10:k * 10 + 120]) for k in range(6)]
+    assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[2])
+    rng.shuffle(texts)
+    owner = {}
+    for i, t in enumerate(texts):
+        owner.setdefault(i, i)
+        for k in range(i):
+            if set(t.split()) & set(texts[k].split()) and jaccard(t, texts[k]) >= 0.8:
+                a, b = sorted((owner[k], owner[i]))
+                owner = {x: a if y == b else y for x, y in owner.items()}
+    for limit in (512, 3):
+        monkeypatch.setattr(simhash, "LIST", limit)
+        monkeypatch.setattr(simhash, "ROUNDS", 8 if limit > 3 else 0)
+        assert {r.doc_id for r in simhash.near_copies(docs_of(spark, texts)).collect()} == set(owner.values())
+
+
+def test_links_of_one_list_connect_what_is_alike(spark):
+    words = list(range(40))
+    chain = [words[:30], words[3:33], words[6:36], words[9:39]]  # neighbours 27 of 33, others at most 24 of 36
+    orders = list(itertools.permutations(range(4)))
+    sets = [(10 * k + p, chain[x]) for k, order in enumerate(orders) for p, x in enumerate(order)]
+    nodes = [(i, [i // 10]) for i, _ in sets]
+    links = simhash.linked_copies(spark.createDataFrame(nodes, "id long, bands array<long>"),
+                                  spark.createDataFrame(sets, "id long, shingles array<long>"), 0.8).collect()
+    assert all(abs(dict(sets)[r.a][0] - dict(sets)[r.b][0]) == 3 for r in links)
+    assert {(min(r), max(r)) for r in links} == {(10 * k + a, 10 * k + b) for k, order in enumerate(orders)
+                                                 for a, b in itertools.combinations(range(4), 2) if abs(order[a] - order[b]) == 1}
+
 
 # -- 9. Weighted sampling ------------------------------------------------------------
 

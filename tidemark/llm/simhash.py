@@ -45,7 +45,7 @@ LIST = 512
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-ROUNDS = 8
+ROUNDS, LEVELS = 8, 3
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -233,27 +233,53 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                           F.when(F.col("_all") == 0, 0.0).otherwise(1 - F.col("_same") / F.col("_all")).alias("distance"))
 
 
-def linked_copies(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between texts in the same list (rows: list, id; sets: id, shingles) that connect each group of near copies.
+def linked_copies(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between texts (nodes: id, bands; sets: id, shingles) that connect whatever is alike in the same list.
 
-    Near copies share many lists, and a group of thousands would give millions of pairs. So a list is not paired: its rows
-    are held against one of them; those alike are linked to it, the others go into the next round with a row of their
-    own. A round makes at most one pair per row. After `ROUNDS` rounds what is left of a list is paired out.
+    Near copies share many lists, and a group of thousands would give millions of pairs. So the rows of a list are held
+    against one of them, the head, and those alike are linked to it: a round makes at most one pair per row. No other pair is
+    lost by that. Two rows linked to one head are connected already (equal label g). A linked row stays in the list as long
+    as it can be alike to an open one: Jaccard distance is a metric, so only if the distances of the two from the head differ
+    by no more than the limit. What `ROUNDS` rounds leave is paired in full in lists up to `LIST` rows; longer ones are filed
+    again under each further band (see `missed` for two and three lists), and paired in full after the third.
     """
-    links = []
-    for _ in range(ROUNDS):
-        heads = rows.groupBy("list").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("h")).select(
-            "list", F.col("h.id").alias("a"))
-        met = materialize(rows.join(heads, "list").where("id <> a").select("list", "a", F.col("id").alias("b")))
-        checked = materialize(verified(met.select("a", "b").distinct(), sets, similarity))
-        links.append(checked.where("alike").select("a", "b"))
-        rows = materialize(met.join(checked.where("NOT alike"), ["a", "b"]).select("list", F.col("b").alias("id")))
+    limit, links = 1 - similarity + 1e-9, []
+    rows = materialize(_shared(nodes.select("id", F.explode("bands").alias("list"))).select(
+        "list", "id", F.col("id").alias("g"), F.lit(0).alias("linked")))
+    for level in range(1, LEVELS + 1):
+        for _ in range(ROUNDS):
+            if rows.isEmpty():
+                break
+            heads = rows.groupBy("list").agg(F.min(F.struct("linked", F.xxhash64("id").alias("o"), "id", "g")).alias("h"),
+                                             F.min("g").alias("g"), F.max("g").alias("_g"))
+            heads = heads.where("g < _g").select("list", F.col("h.id").alias("a"), F.col("h.g").alias("_g"))
+            met = materialize(rows.join(heads, "list").where("id <> a").withColumnRenamed("id", "b"))
+            checked = materialize(verified(met.where("g <> _g").select("a", "b").distinct(), sets, similarity))
+            links.append(checked.where("alike").select("a", "b"))
+            # Rows with the head's label were not measured: their distance is unknown, so they stay beside any open row.
+            met = materialize(met.join(checked, ["a", "b"], "left").withColumn("alike", F.coalesce("alike", F.lit(True))))
+            nearest = met.where("NOT alike").groupBy("list").agg(F.min("distance").alias("nearest"))
+            kept = met.join(nearest, "list").where(~F.col("alike") | F.col("distance").isNull()
+                                                   | (F.col("distance") + limit >= F.col("nearest")))
+            rows = materialize(kept.select("list", F.col("b").alias("id"), F.when(F.col("alike"), F.col("_g")).otherwise(
+                F.col("g")).alias("g"), F.when(F.col("alike"), 1).otherwise(F.col("linked")).alias("linked"),
+                *["used"] * (level > 1)))
         if rows.isEmpty():
             break
-    else:
-        pairs = rows.join(rows.select("list", F.col("id").alias("b")), "list").where("id < b").select(F.col("id").alias("a"), "b")
-        links.append(verified(pairs.distinct(), sets, similarity).where("alike").select("a", "b"))
-    return reduce(DataFrame.union, links).distinct()
+        sized = materialize(_shared(rows))
+        short = sized if level == LEVELS else sized.where(F.col("n") <= LIST)
+        other = short.select("list", F.col("id").alias("b"), F.col("g").alias("_g"))
+        pairs = short.join(other, "list").where("id < b AND g <> _g").select(F.col("id").alias("a"), "b").distinct()
+        links.append(materialize(verified(pairs, sets, similarity).where("alike").select("a", "b")))
+        if level == LEVELS:
+            break
+        long = sized.where(F.col("n") > LIST).join(nodes, "id").withColumn("used", F.array("list") if level == 1 else F.col("used"))
+        finer = long.select("id", "g", "linked", "used", F.explode(F.array_except("bands", "used")).alias("_more"))
+        finer = finer.withColumn("used", F.array_sort(F.concat("used", F.array("_more"))))
+        finer = finer.groupBy(F.xxhash64("used").alias("list"), "id").agg(
+            F.min("g").alias("g"), F.min("linked").alias("linked"), F.first("used").alias("used"))
+        rows = materialize(_shared(materialize(finer)).drop("n"))
+    return reduce(DataFrame.union, links, nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)).distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -262,11 +288,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     docs, restored = set_aside(docs, key, text)
     prints = materialize(_text_arrays(docs, text, [key], "bands", band_keys))
     nodes = materialize(prints.groupBy("id").agg(F.first("bands").alias("bands")))
-    rows = materialize(_shared(nodes.select("id", F.explode("bands").alias("list"))).select("list", "id"))
-    filed = rows.select("id")
+    filed = _shared(nodes.select("id", F.explode("bands").alias("list"))).select("id")
     copies = docs.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(filed.distinct().withColumnRenamed("id", "_id"), "_id", "left_semi")
     sets = materialize(_text_arrays(copies.dropDuplicates(["_id"]), text, [], "shingles", lambda x: x.view(np.int64).tolist()))
-    links = linked_copies(rows, sets, similarity)
+    links = linked_copies(nodes, sets, similarity)
     groups = components(links)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("id").alias("id"))
     least = (prints.select(key, "id").join(groups, F.col("id") == F.col("node"), "left")
