@@ -210,6 +210,20 @@ def test_layers_end():
     assert secret_scan.scan_text("%2525252525 %25%25 \\u005cu0041 " * 20) == []
 
 
+def test_every_occurrence_of_a_nested_secret(spark):
+    inner = base64.b64encode(b"token=abcdef123456").decode()
+    once, other = (base64.b64encode(f"{word} {inner} end".encode()).decode() for word in ("see", "or this"))
+    escaped = "".join(f"%{b:02X}" if chr(b) in "+/=" else chr(b) for b in base64.b64encode(f"x\u00ff\u00fe>>?? {inner}".encode()))
+    assert "%2B" in escaped or "%2F" in escaped
+    for first, second in ((once, once), (once, other), (escaped, escaped)):
+        text = f"one {first} two {second} three"
+        spans = [s for s in secret_scan.scan_text(text) if not s[3]]
+        for begin in (4, 4 + len(first) + 5):
+            assert any(begin <= a < b <= begin + max(len(first), len(second)) for a, _, b, _ in spans)
+        clean = secret_scan.redact(docs_of(spark, [text])).first().text
+        assert clean.count("[secret]") >= 2 and inner[8:16] not in clean
+
+
 def test_secret_frames(spark):
     df = spark.createDataFrame([(1, "see token=abcdefgh now", 5), (2, None, 6), (3, "", 7), (1, "see token=abcdefgh now", 5)], "doc_id long, text string, spans int")
     assert [len(r.spans) for r in secret_scan.scan(df).orderBy("doc_id").collect()] == [1, 1, 0, 0]

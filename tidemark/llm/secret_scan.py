@@ -2,8 +2,9 @@
 
 A worklist holds layers of a text. The first is the text itself; a layer is scanned, then unwrapped: its percent
 escapes are decoded, its Unicode escapes are decoded, and each base64 run that decodes to readable text or to a
-compressed stream (gzip, zlib, bzip2, xz) becomes a layer of its own. New layers join the list until none is left; a
-layer whose content was met before is not taken again, which ends cycles such as streams that unpack to themselves.
+compressed stream (gzip, zlib, bzip2, xz) becomes a layer of its own. New layers join the list until none is left. A
+layer that repeats one it was unwrapped from is not taken, which ends cycles such as streams that unpack to themselves;
+otherwise equal content is taken again wherever it comes from another span of the text.
 Every layer carries, for each character, the span of the text it came from, so findings in any depth are spans of the
 text. Findings of the first layer are the base; deeper ones are added, never replacing a base span.
 
@@ -58,10 +59,15 @@ def find(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, per character, where it comes from in the original; None: the text is the original."""
+    """A text and, per character, where it comes from in the original; None: the text is the original. `chain` has the
+    content hashes of the layer and of those it was unwrapped from."""
 
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text, self.start, self.end = text, start, end
+        self.chain: frozenset[bytes] = frozenset()
+
+    def mark(self) -> bytes:
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
@@ -164,18 +170,20 @@ def scan_text(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind number, end, base) of all layers, in order."""
     base = find(text)
     found = {x: True for x in base}
-    work, seen = [Layer(text)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    first = Layer(text)
+    first.chain = frozenset([first.mark()])
+    work, seen = [first], set()
     while work:
         layer = work.pop()
         for new in (percent(layer), unicode_escapes(layer), *base64_runs(layer)):
-            if new is None:
+            if new is None or not new.text:
                 continue
-            mark = hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest()
-            origin = mark + new.origin(0, len(new.text))[0].to_bytes(8) if new.text else mark
-            if mark in seen or origin in seen:
+            mark = new.mark()
+            place = mark, new.origin(0, len(new.text))
+            if mark in layer.chain or place in seen:
                 continue
-            # The same content elsewhere in the text is a finding of its own, but not inside itself.
-            seen |= {origin} if layer.start is None else {origin, mark}
+            seen.add(place)
+            new.chain = layer.chain | {mark}
             for a, kind, b in find(new.text):
                 s, e = new.origin(a, b)
                 found.setdefault((s, kind, e), False)
