@@ -408,6 +408,13 @@ def test_packed_documents(spark):
     assert packing.pack_documents(docs_of(spark, ["x"]).limit(0), path).count() == 0
 
 
+def test_added_tokens_are_one_id():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), packing.encoder(path)
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|", "x <|ENDOFTEXT|>"):
+        assert packing.token_ids(own, text).tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_tokenizer_whose_ids_are_out_of_order_is_refused(tmp_path):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         model = json.load(f)

@@ -46,9 +46,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 @lru_cache(2)
 def encoder(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizers file. Its merges are in the order of its ids, so that ranks say it all and
-    the faster library gives the same ids; a file for which that does not hold is refused."""
+    the faster library gives the same ids; added tokens are found anywhere in a text, as by the tokenizers library. A file
+    for which that does not hold is refused."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+    if any(t.get(k) for t in file.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path}: added tokens that take in or need what is beside them")
+    if any(a != b and b.startswith(a) for a in added for b in added):
+        raise ValueError(f"{path}: an added token begins another")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -57,11 +63,11 @@ def encoder(path: str) -> tiktoken.Encoding:
         raise ValueError(f"{path}: ids do not follow the order of the merges")
     known = {"".join(m) for m in merges} | letters.keys()
     ranks = {bytes(letters[c] for c in token): model["vocab"][token] for token in known}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(own: tiktoken.Encoding, text: str) -> np.ndarray:
-    ids = own.encode_to_numpy(text, disallowed_special=())
+    ids = own.encode_to_numpy(text, allowed_special="all")
     return np.append(ids, END_ID).astype("<u4")
 
 
