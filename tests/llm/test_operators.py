@@ -681,3 +681,16 @@ def test_anchor_choice_is_local():
         owner, a, low, high, *_ = substrings.anchors(np.frombuffer(p, np.uint8), np.array([0]), np.array([len(p)]), 400)
         chosen.append([next(int(x) - at for x, lo, hi in zip(a, low, high) if x - hi <= s <= x - lo) for s in range(at, at + 51)])
     assert all(c == chosen[0] for c in chosen)
+
+
+def test_anchors_of_a_text_beyond_the_places(monkeypatch):
+    rng = random.Random(33)
+    passage = rng.randbytes(1500)
+    text = b"".join([rng.randbytes(40_000), passage, rng.randbytes(30_000), passage, rng.randbytes(5_000)])
+    monkeypatch.setattr(substrings, "PLACE_BITS", 12)
+    owner, at, low, high, grams, span = substrings.anchors(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]), 400)
+    one, two = ({(a - start, g) for a, h, b, g in zip(at, high, low, grams) if start <= a - h and a - b + 400 <= start + 1500}
+                for start in (40_000, 71_500))
+    assert one and one == two and (low <= high).all() and (low >= 0).all() and (high <= 400).all()
+    starts = np.concatenate([np.arange(a - y, a - x + 1) for a, x, y in zip(at, low, high)])
+    assert (np.sort(starts) == np.arange(len(text) - 399)).all()

@@ -65,6 +65,21 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-(width - size)], values[width - size:]) if width > size else values
 
 
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost least of every `width` neighbours, compared without their low PLACE_BITS bits, which hold
+    places. Those count from the start of a window, and windows overlap by width - 1, so any length is exact."""
+    size = 1 << PLACE_BITS
+    if width > size:
+        raise ValueError(f"{width} neighbours are more than the {size} places of a window")
+    place = np.uint64(size - 1)
+    out = np.empty(len(values) - width + 1, np.int64)
+    for i in range(0, len(out), size - width + 1):
+        part = values[i:i + size]
+        least = sliding_least((part & ~place) | np.arange(len(part), dtype=np.uint64), width)
+        out[i:i + len(least)] = (least & place).astype(np.int64) + i
+    return out
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For texts [start, end) in `data`: (text, anchor, low, high, gram, range) of every content-chosen position.
 
@@ -76,14 +91,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
     rolling = Rolling(data)
     grams = rolling.grams(GRAM)
-    place = np.uint64((1 << PLACE_BITS) - 1)
-    least = sliding_least((grams & ~place) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
+    chosen_at = least_places(grams, length - GRAM + 1)
     ok = ends - starts >= length
     which = np.flatnonzero(ok)
     counts = ends[ok] - starts[ok] - length + 1
     text = np.repeat(which, counts)
     first = np.repeat(starts[ok] - np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts) + np.arange(counts.sum())
-    chosen = (least[first] & place).astype(np.int64)
+    chosen = chosen_at[first]
     new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(new[1:], len(chosen)) - 1
     a, one, two, owner = chosen[new], first[new], first[last], text[new]
