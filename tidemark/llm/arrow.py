@@ -12,11 +12,16 @@ from pyspark.sql.types import StructType
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: StructType | str) -> DataFrame:
-    """mapInArrow, with this package on the path of workers that share the driver's machine. On a cluster the package
-    is installed or sent with the job (`--py-files`), as any other."""
+def reachable(df: DataFrame) -> DataFrame:
+    """Puts this package on the path of workers that share the driver's machine. On a cluster the package is installed
+    or sent with the job (`--py-files`), as any other."""
     paths = df.sparkSession.sparkContext.environment
     if ROOT not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, paths.get("PYTHONPATH")]))
-    return df.mapInArrow(run, schema)
+    return df
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: StructType | str) -> DataFrame:
+    """mapInArrow on workers that find this package."""
+    return reachable(df).mapInArrow(run, schema)

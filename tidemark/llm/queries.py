@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, masked_lm, packing, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
+from . import bpe, hilbert, kernel_quality, masked_lm, packing, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return masked_lm.score(docs, masked_lm.train(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
+@_query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scored = kernel_quality.quality_scores(docs, labels)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
