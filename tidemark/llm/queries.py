@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, kernel_quality, masked_lm, packing, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
+from . import bpe, hilbert, kernel_quality, masked_lm, packing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,10 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     scored = kernel_quality.quality_scores(docs, labels)
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    nodes = prefix_trie.trie(prefix_trie.with_borrowed_heads(turns))
+    return nodes.withColumn("ends_sha256", F.coalesce("ends", F.lit(prefix_trie.NO_IDS))).drop("ends")
