@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, kernel_quality, masked_lm, packing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
+from . import alignment, bpe, hilbert, kernel_quality, masked_lm, packing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, url_filter, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,10 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     nodes = prefix_trie.trie(prefix_trie.with_borrowed_heads(turns))
     return nodes.withColumn("ends_sha256", F.coalesce("ends", F.lit(prefix_trie.NO_IDS))).drop("ends")
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment(docs, *paths).withColumnRenamed("groups", "groups_sha256")
