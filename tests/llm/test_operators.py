@@ -385,7 +385,6 @@ def test_plan_is_near_the_bound():
 def test_packed_documents(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(11)
     texts = [prose(rng, rng.choice([0, 1, 5, 300, 2000])) for _ in range(60)] + [None, "", "x", "<|endoftext|> é中𝒳"] + ["same text"] * 30
     ids = [*range(len(texts) - 1), None]
