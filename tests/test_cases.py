@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codes, text, times
 from tidemark.operators import bars as B
+from tidemark.operators import dictionary as D
 from tidemark.operators import events as E
 from tidemark.operators import indicators as I
 from tidemark.operators import ingest as G
@@ -373,7 +374,7 @@ def test_dictionary_changes(spark):
                                   "id bigint, keyword string, normalized_keyword string, category string, active boolean, deleted boolean")
     changes = spark.createDataFrame([(1, "seed", "gone", None), (2, "seed", "fresh", None), (3, "rename", "old", "new"), (4, "delete", "mined", None),
                                      (5, "create", " ", None), (6, "seed", "gen", None)], "seq bigint, action string, word string, new_word string")
-    kept, rejected = T.merge_dictionary(words, changes)
+    kept, rejected = D.merge_dictionary(words, changes)
     got = {r.normalized_keyword: (r.category, r.active, r.deleted) for r in kept.collect()}
     assert got == {"new": ("manual", True, False), "gone": ("manual", False, True), "mined": ("auto", True, False),
                    "fresh": ("manual", True, False), "gen": ("manual", True, False)}
@@ -386,7 +387,7 @@ def test_dictionary_changes_in_order(spark):
     steps = [("create", "n", None), ("deactivate", "n", None), ("create", "m", None), ("rename", "m", "m2"), ("rename", "a", "b"),
              ("rename", "b", "c"), ("rename", "a", "b"), ("delete", "b", None), ("activate", "a", None), ("rename", "c", " "), ("seed", "b", None)]
     changes = spark.createDataFrame([(i, *x) for i, x in enumerate(steps)], "seq bigint, action string, word string, new_word string")
-    kept, rejected = T.merge_dictionary(words, changes)
+    kept, rejected = D.merge_dictionary(words, changes)
     assert {r.normalized_keyword: (r.id, r.active, r.deleted) for r in kept.collect()} == {
         "n": (None, False, False), "m2": (None, True, False), "c": (2, True, False), "b": (1, False, True)}
     assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(4, "conflict"), (8, "unknown"), (9, "empty")]

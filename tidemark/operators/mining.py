@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import exchange_of
-from ..functions.text import compact, normalize_term, snippet
+from ..functions.text import compact, snippet
 from ..session import materialize
-from .components import components
 from .matching import candidates, contained_terms, found_terms
 
 # Code pattern, link confidences, mining limits, marker of hand-made links.
 CODE_PATTERN = r"(?iU)(?<!\d)(?:(?:SH|SZ)[.：:]?)?([036]\d{5})(?!\d)"
 CODE_CONFIDENCE, ALIAS_CONFIDENCE, NAME_CONFIDENCE = "1.0", "0.9", "0.85"
 MIN_TOPICS, MAX_TERMS, MAX_PER_TOPIC = 5, 200, 30
-CHANGES_PER_SHARE = 10_000  # dictionary changes that one task folds
 HAND_MADE = "人工标注"
 # Short names and the code and full name they stand for.
 STOCK_ALIASES = (
@@ -266,71 +263,3 @@ def apply_annotations(links: DataFrame, words: DataFrame, returns: DataFrame, an
             .unionByName(stocks),
             words.join(done, "topic_id", "left_anti").select("topic_id", "keyword", "context").unionByName(marked),
             returns.join(done, "topic_id", "left_anti"))
-
-
-def merge_dictionary(keywords: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply dictionary changes in the order of `seq`; (dictionary, rejected changes with a reason).
-
-    `changes`: (seq, action, word, new_word) with actions `seed`, `create`, `rename`, `activate`, `deactivate`,
-    `delete`. A seed adds a word that is unknown and leaves others alone. Mined words cannot be changed by hand, and
-    unknown ones only created; a rename to a word that exists at that moment is a conflict.
-
-    Words depend on each other through renames only, so changes are dealt out by connected words and every share is
-    folded by itself. Words without changes stay where they are.
-    """
-    clean = changes.withColumns({"word": normalize_term(F.col("word")), "new_word": normalize_term(F.col("new_word"))})
-    clean = materialize(clean.filter("word IS NOT NULL").select("seq", "action", "word", "new_word"))
-    renames = clean.filter("action = 'rename' AND new_word IS NOT NULL")
-    linked = components(renames.select(F.col("word").alias("a"), F.col("new_word").alias("b")))
-    shares = max(1, -(-clean.count() // CHANGES_PER_SHARE))
-    concerned = clean.select("word").union(renames.select("new_word")).distinct().join(
-        linked, F.col("word") == F.col("node"), "left").select(
-        "word", F.pmod(F.xxhash64(F.coalesce("component", "word")), F.lit(shares)).alias("share"))
-    columns = ("id", "keyword", "normalized_keyword", "category", "active", "deleted")
-    old = keywords.select(*columns).join(concerned.select(
-        F.col("word").alias("normalized_keyword"), F.col("share").alias("own_share")), "normalized_keyword")
-    todo = clean.join(concerned, "word")
-    folded = materialize(old.groupBy("own_share").cogroup(todo.groupBy("share")).applyInPandas(_fold_changes, (
-        f"id {keywords.schema['id'].dataType.simpleString()}, keyword string, normalized_keyword string, category string, active boolean, deleted boolean, "
-        "seq bigint, action string, word string, new_word string, reason string")))
-    untouched = keywords.select(*columns).join(concerned, F.col("normalized_keyword") == F.col("word"), "left_anti")
-    return (untouched.unionByName(folded.filter("reason IS NULL").select(*columns)),
-            folded.filter("reason IS NOT NULL").select("seq", "action", "word", "new_word", "reason"))
-
-
-def _fold_changes(words: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-    """One share of the dictionary after its changes, and the changes that were rejected."""
-    words, changes = (df.astype(object).where(df.notna(), None) for df in (words, changes.sort_values("seq")))
-    state = {w.normalized_keyword: [int(w.id) if isinstance(w.id, float) else w.id, w.keyword, w.category, w.active, bool(w.deleted)]
-             for w in words.itertuples(index=False)}
-    rows = []
-    for c in changes.itertuples(index=False):
-        entry, reason = state.get(c.word), None
-        if c.action == "seed":
-            if entry is None:
-                state[c.word] = [None, c.word, "manual", True, False]
-            elif not entry[4] and entry[2] == "general":
-                entry[2] = "manual"
-            continue
-        if entry is not None and entry[2] == "auto":
-            reason = "mined"
-        elif c.action == "create":
-            state[c.word] = [entry and entry[0], c.word, "manual", True, False]
-        elif entry is None:
-            reason = "unknown"
-        elif c.action == "rename" and not c.new_word:
-            reason = "empty"
-        elif c.action == "rename" and c.new_word != c.word and c.new_word in state:
-            reason = "conflict"
-        elif c.action == "rename":
-            del state[c.word]
-            state[c.new_word] = [entry[0], c.new_word, "manual", *entry[3:]]
-        else:
-            entry[2:4] = ["manual", c.action == "activate"]
-            entry[4] = entry[4] or c.action == "delete"
-        if reason:
-            rows.append((None,) * 6 + (c.seq, c.action, c.word, c.new_word, reason))
-    rows += [(e[0], e[1], w, *e[2:]) + (None,) * 5 for w, e in state.items()]
-    out = pd.DataFrame(rows, columns=["id", "keyword", "normalized_keyword", "category", "active", "deleted", "seq", "action",
-                                      "word", "new_word", "reason"], dtype=object)
-    return out.astype({"seq": "Int64", "active": "boolean", "deleted": "boolean"})

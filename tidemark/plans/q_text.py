@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import dictionary as D
 from ..operators import events as E
 from ..operators import mining as T
 from ..operators import search as L
@@ -294,7 +295,7 @@ def _changed(t: Tables):
     aim = F.when(n % 24 == 2, FIXED).when(n % 6 == 2, F.concat_ws(" ", "p_type", n.cast("string")))
     changes = t.raw("part").select(n.cast("bigint").alias("seq"), action.alias("action"), word.alias("word"), aim.alias("new_word"))
     first = t.spark.createDataFrame([(-1, "create", FIXED, None)], changes.schema)
-    return T.merge_dictionary(t.words, changes.unionByName(first))
+    return D.merge_dictionary(t.words, changes.unionByName(first))
 
 
 @query("t11_merge_dictionary", duck(f"""WITH RECURSIVE {JUDGED}
