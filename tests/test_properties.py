@@ -4,10 +4,13 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as K
 from tidemark.operators import events as E
+from tidemark.operators import indicators as I
 from tidemark.operators import quality as Q
 from tidemark.operators import stats as S
 from tidemark.operators.matching import candidates, contained_terms
@@ -134,3 +137,20 @@ def test_bar_stream_replaces_the_running_day_only(spark, tmp_path):
     assert run("2026-01-06 08:00:00") == {a: 1.0, b: 1.0}
     put([(1, "2026-01-05", "qfq", 2.0, 3), (1, "2026-01-06", "qfq", 2.0, 4)])
     assert run("2026-01-06 09:00:00") == {a: 1.0, b: 2.0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 500, 5000])
+@pytest.mark.parametrize("period", [1, 2, 35, 250])
+def test_blocked_average_is_the_recurrence(n, period):
+    series = np.random.default_rng(n).normal(100, 30, n)
+    alpha, level, want = 2 / (period + 1), series[0], []
+    for k, value in enumerate(series):
+        level = alpha * value + (1 - alpha) * level if k else value
+        want.append(level)
+    assert np.allclose(I.average(series, period), want, rtol=0, atol=1e-9)
+
+
+def test_average_past_what_is_not_finite():
+    got = I.average(np.array([1.0] * 70 + [np.nan, 1.0, np.inf]), 3)
+    assert np.all(got[:70] == pytest.approx(1.0)) and np.isnan(got[70:]).all()
+    assert len(I.average(np.array([]), 3)) == 0
