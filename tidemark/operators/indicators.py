@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reachable
 from .bars import STOCK, adjusted, by_stock, trailing
 
 WARM_UP = 130
@@ -81,7 +82,7 @@ def _chains(values: Column, chains: tuple[tuple[int, ...], ...]) -> Column:
 
 def pack(bars: DataFrame, columns: list[str]) -> DataFrame:
     """One row per stock with its bars in date order."""
-    return bars.groupBy("stock_id").agg(
+    return reachable(bars).groupBy("stock_id").agg(
         F.array_sort(F.collect_list(F.struct("trade_date", *columns))).alias("bars"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -52,3 +54,12 @@ def materialize(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def reachable(df: DataFrame) -> DataFrame:
+    """Puts this package on the path of Python workers that share the driver's machine. On a cluster the package is
+    installed or sent with the job (`--py-files`), as any other."""
+    paths = df.sparkSession.sparkContext.environment
+    if ROOT not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, paths.get("PYTHONPATH")]))
+    return df
