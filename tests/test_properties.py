@@ -52,7 +52,7 @@ def test_exact_median_against_statistics(spark):
     for n in (1, 2, 7, 400):
         values = [rng.choice([-0.07, rng.gauss(0, 1)]) for _ in range(n)]
         frame = spark.createDataFrame([(v,) for v in values], "r double")
-        assert abs(K.exact_median(frame, "r", cells=16).first()[0] - statistics.median(values)) < 1e-15
+        assert abs(K.exact_median(frame, "r", ranked=16).first()[0] - statistics.median(values)) < 1e-15
     same = spark.createDataFrame([(2.5,)] * 9, "r double")
     assert K.exact_median(same, "r").first()[0] == 2.5
 
@@ -154,3 +154,17 @@ def test_average_past_what_is_not_finite():
     got = I.average(np.array([1.0] * 70 + [np.nan, 1.0, np.inf]), 3)
     assert np.all(got[:70] == pytest.approx(1.0)) and np.isnan(got[70:]).all()
     assert len(I.average(np.array([]), 3)) == 0
+
+
+def test_median_ranks_few_values_whatever_the_spread(spark, monkeypatch):
+    rng = random.Random(6)
+    for values in ([rng.gauss(0, 1e-3) for _ in range(20_000)] + [1e9, -1e15], [10.0 ** rng.uniform(-300, 300) for _ in range(20_001)],
+                   [0.5] * 9000 + [rng.random() for _ in range(9001)]):
+        frame = spark.createDataFrame([(v,) for v in values], "r double").repartition(4)
+        seen = []
+        collect = type(frame).collect
+        monkeypatch.setattr(type(frame), "collect", lambda df: seen.append(got := collect(df)) or got)
+        assert K.exact_median(frame, "r", ranked=150).first()[0] == statistics.median(values)
+        monkeypatch.undo()
+        assert max(map(len, seen)) <= 200  # at most 1 % of the values
+    assert K.exact_median(spark.createDataFrame([(None,)], "r double"), "r").first()[0] is None

@@ -102,37 +102,48 @@ def signal_count(points: DataFrame, start: str | None = None, end: str | None =
     return points.filter(entry_rule(start, end)).groupBy("setting").agg(F.count(F.lit(1)).alias("signals"))
 
 
-def exact_median(df: DataFrame, column: str, cells: int = 4096) -> DataFrame:
+MEDIAN_SPLITS = 64
+MEDIAN_RANKED = 4096
+
+
+def exact_median(df: DataFrame, column: str, ranked: int = MEDIAN_RANKED) -> DataFrame:
     """The median of a column as a one-row frame, without holding the values anywhere.
 
-    Duplicates collapse first (so a value shared by a third of the rows is one row),
-    the value range is cut into `cells`, and only the cells that hold the two middle
-    positions are ranked. Cell counts are at most `cells` rows.
+    Duplicates collapse first (so a value shared by a third of the rows is one row). Then rounds of selection: a
+    mergeable quantile sketch of the values left gives bounds that split them about evenly, whatever their spread; exact
+    counts between bounds tell where the two middle positions lie, and only that stretch is left. At most `ranked`
+    values are put in order in the end. The driver sees bounds and counts.
     """
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    lo, hi, n = (span.select(name).scalar() for name in ("lo", "hi", "n"))
-    width = (F.col("hi") - F.col("lo")) / cells
-    celled = (values.withColumns({"lo": lo, "hi": hi})
-              .withColumn("cell", F.when(width <= 0, 0).otherwise(
-                  F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(cells - 1))).cast("int")))
-    per_cell = celled.groupBy("cell").agg(F.sum("c").alias("k"))
-    run = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    located = (per_cell.withColumn("before", F.sum("k").over(run) - F.col("k")).withColumn("n", n)
-               .filter(((F.col("before") <= first) & (first < F.col("before") + F.col("k")))
-                       | ((F.col("before") <= second) & (second < F.col("before") + F.col("k"))))
-               .select("cell", "before", "n"))
-    inside = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (celled.join(F.broadcast(located), "cell")
-              .withColumn("upto", F.col("before") + F.sum("c").over(inside))
-              .withColumn("from", F.col("upto") - F.col("c")))
-    hit = [F.max(F.when((F.col("from") <= at) & (at < F.col("upto")), F.col("v"))) for at in (first, second)]
-    return ranked.agg(((hit[0] + hit[1]) / 2).alias("median"))
-
-
-def trade_summary(trades: DataFrame) -> DataFrame:
-    """Win rate, mean, exact median, extremes, profit factor and holding time; one row."""
+    values = materialize(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("c")))
+    total, rows = values.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    middle, below, left = ((total - 1) // 2, total // 2), 0, values
+    shares = [k / MEDIAN_SPLITS for k in range(1, MEDIAN_SPLITS)]
+    while rows > ranked:
+        found = left.agg(F.percentile_approx("v", shares, 20 * MEDIAN_SPLITS)).first()[0]
+        bounds = sorted(set(found))
+        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("v")))
+        counts = {r.p: (r.n, r.rows) for r in left.groupBy(part.alias("p")).agg(
+            F.sum("c").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+        upto, reach = below, {}
+        for p in sorted(counts):
+            reach[p] = (upto, upto := upto + counts[p][0])
+        first, last = (next(p for p in sorted(reach) if reach[p][1] > at) for at in middle)
+        below, rows = reach[first][0], sum(n for p, (_, n) in counts.items() if first <= p <= last)
+        if first:
+            left = left.filter(F.col("v") >= bounds[first - 1])
+        if last < len(bounds):
+            left = left.filter(F.col("v") < bounds[last])
+    hits, upto = [], below
+    for v, c in sorted(map(tuple, left.collect())):
+        hits += [v for at in middle if upto <= at < upto + c]
+        upto += c
+    return df.sparkSession.createDataFrame([(sum(hits) / 2 if hits else None,)], "median double")
+
+
+def trade_summary(trades: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Win rate, mean, exact median, extremes, profit factor and holding time; one row. With `signals` (see
+    `signal_count`) also `entries`, the signals that could be entered."""
     trades = materialize(trades)
     r = F.col("return")
     gains, losses = F.sum(F.when(r > 0, r)), F.sum(F.when(r <= 0, r))
@@ -141,13 +152,22 @@ def trade_summary(trades: DataFrame) -> DataFrame:
         F.avg(r).alias("mean_return"), F.max(r).alias("best"), F.min(r).alias("worst"),
         F.try_divide(F.coalesce(gains, F.lit(0.0)), F.abs(losses)).alias("profit_factor"),
         F.avg("held").alias("mean_held"))
-    return totals.withColumn("median_return", exact_median(trades, "return").scalar())
+    totals = totals.withColumn("median_return", exact_median(trades, "return").scalar())
+    if signals is None:
+        return totals
+    entries = signals.agg(F.coalesce(F.sum("signals"), F.lit(0)).alias("n")).scalar()
+    return totals.withColumn("entries", entries)
 
 
 def trades_by_reason(trades: DataFrame) -> DataFrame:
     return trades.groupBy("reason").agg(F.count(F.lit(1)).alias("trades"), F.avg("return").alias("mean_return"))
 
 
+def by_count() -> list[Column]:
+    """Order of `trades_by_reason`: the most frequent first."""
+    return [F.desc("trades"), F.asc("reason")]
+
+
 def trades_by_year(trades: DataFrame) -> DataFrame:
     return trades.groupBy(F.year("signal_date").alias("year")).agg(
         F.count(F.lit(1)).alias("trades"), F.avg((F.col("return") > 0).cast("int")).alias("win_rate"),
