@@ -174,20 +174,43 @@ def keyword_matches(topics: DataFrame, keywords: DataFrame) -> DataFrame:
         "topic_id", "normalized_keyword", F.col("m.term").alias("keyword"), "m.context")
 
 
-def link_keywords(topics: DataFrame, keywords: DataFrame, links: DataFrame) -> DataFrame:
-    """New (topic, word) links; `links` has (topic_id, keyword_id)."""
-    ids = keywords.groupBy("normalized_keyword").agg(F.min("id").alias("keyword_id"))
-    found = keyword_matches(topics, keywords).join(ids, "normalized_keyword", "left")
+def new_words(keywords: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows for normal forms that the table lacks. `wanted`: (normalized_keyword, category). Numeric ids go on behind the
+    greatest in the order of the words, other ids are the word itself. There are no more of them than dictionary words or
+    mined phrases, so they are numbered in one place."""
+    lacking = (wanted.groupBy("normalized_keyword").agg(F.min("category").alias("category"))
+               .join(keywords.select("normalized_keyword"), "normalized_keyword", "left_anti"))
+    kind, word = keywords.schema["id"].dataType.simpleString(), F.col("normalized_keyword")
+    number = word if kind == "string" else (keywords.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).scalar()
+                                            + F.row_number().over(Window.orderBy("normalized_keyword")))
+    values = {"id": number, "keyword": word, "normalized_keyword": word, "category": F.col("category"),
+              "active": F.lit(True), "deleted": F.lit(False)}
+    return lacking.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in keywords.schema])
+
+
+def link_keywords(topics: DataFrame, keywords: DataFrame, links: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """New (topic, word) links; `links` has (topic_id, keyword_id). Ids are those of `table`, the dictionary itself unless
+    given; see `new_words` for forms that it lacks."""
+    return identified_words(keyword_matches(topics, keywords), keywords if table is None else table, links)
+
+
+def identified_words(matches: DataFrame, table: DataFrame, links: DataFrame) -> DataFrame:
+    ids = table.groupBy("normalized_keyword").agg(F.min("id").alias("keyword_id"))
+    found = matches.join(ids, "normalized_keyword", "left")
     return found.join(links.select("topic_id", "keyword_id"), ["topic_id", "keyword_id"], "left_anti")
 
 
 # -- emphasis phrases -----------------------------------------------------------
 
-def emphasis_terms(topics: DataFrame, patterns=EMPHASIS_PATTERNS) -> DataFrame:
-    """(topic_id, term), distinct per topic."""
+def emphasis_terms(topics: DataFrame, patterns=EMPHASIS_PATTERNS, contexts: bool = False) -> DataFrame:
+    """(topic_id, term), distinct per topic; with `contexts` also what stands around the term, cut while the text is at
+    hand."""
     texts = topic_texts(topics).withColumn("small", compact(F.col("text")))
     found = F.flatten(F.array(*[F.regexp_extract_all("small", F.lit(f"(?U){p}"), 0) for p in patterns]))
-    return texts.select("topic_id", F.explode(F.array_distinct(found)).alias("term"))
+    if not contexts:
+        return texts.select("topic_id", F.explode(F.array_distinct(found)).alias("term"))
+    return texts.select("topic_id", F.inline(F.transform(F.array_distinct(found), lambda t: F.struct(
+        t.alias("term"), snippet(F.col("text"), t).alias("context")))))
 
 
 def eligible_terms(terms: DataFrame, min_topics: int = MIN_TOPICS, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -213,35 +236,47 @@ def drop_orphans(keywords: DataFrame, links: DataFrame) -> DataFrame:
 def discover_terms(topics: DataFrame, keywords: DataFrame, links: DataFrame, patterns=EMPHASIS_PATTERNS,
                    min_topics: int = MIN_TOPICS, max_terms: int = MAX_TERMS,
                    max_per_topic: int = MAX_PER_TOPIC) -> DataFrame:
-    """Links of recurring phrases: (topic_id, term, topics, context).
+    """Links of recurring phrases: (topic_id, term, topics, context)."""
+    return discovery(topics, keywords, links, patterns, min_topics, max_terms, max_per_topic)[0]
 
-    The regex pass over the texts is the expensive part and its output small, so its
-    result is checkpointed and read for both the frequencies and the links.
+
+def discovery(topics: DataFrame, keywords: DataFrame, links: DataFrame, patterns=EMPHASIS_PATTERNS,
+              min_topics: int = MIN_TOPICS, max_terms: int = MAX_TERMS, max_per_topic: int = MAX_PER_TOPIC
+              ) -> tuple[DataFrame, DataFrame]:
+    """(links of recurring phrases, the phrases that were frequent enough).
+
+    The regex pass over the texts is the expensive part and its output small, so its result, contexts included, is
+    checkpointed and read for both the frequencies and the links: texts are scanned once and never shuffled.
     """
     kept_words, kept_links = drop_mined(keywords, links)
-    terms = materialize(emphasis_terms(topics, patterns))
-    # At most `max_terms` rows, hence a safe broadcast.
-    top = F.broadcast(eligible_terms(terms, min_topics, max_terms))
+    terms = materialize(emphasis_terms(topics, patterns, contexts=True))
+    eligible = materialize(eligible_terms(terms, min_topics, max_terms))
     w = Window.partitionBy("topic_id").orderBy(F.desc("topics"), "term")
-    ranked = terms.join(top, "term").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_per_topic)
+    ranked = terms.join(eligible, "term").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_per_topic)
     taken = kept_words.filter("category <> 'auto'").select(F.col("normalized_keyword").alias("term"))
     words = kept_words.select(F.col("normalized_keyword").alias("term"), F.col("id").alias("keyword_id"))
     existing = kept_links.join(words, "keyword_id").select("topic_id", "term")
     fresh = ranked.join(taken, "term", "left_anti").join(existing, ["topic_id", "term"], "left_anti")
-    texts = topic_texts(topics)
-    return fresh.join(texts, "topic_id").select(
-        "topic_id", "term", "topics", snippet(F.col("text"), F.col("term")).alias("context"))
+    return fresh.select("topic_id", "term", "topics", "context"), eligible
+
+
+def discovered_words(keywords: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """The mined words of a discovery run that the dictionary does not have yet, with ids of their own."""
+    kept_words, _ = drop_mined(keywords, links)
+    return new_words(kept_words, found.select(F.col("term").alias("normalized_keyword"), F.lit("auto").alias("category")))
 
 
-def discovery_summary(topics: DataFrame, keywords: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
-    """Counts of a discovery run; one row."""
+def discovery_summary(topics: DataFrame, keywords: DataFrame, links: DataFrame, found: DataFrame,
+                      eligible: DataFrame | None = None) -> DataFrame:
+    """Counts of a discovery run; one row, with `candidate_keywords` if the `eligible` phrases are given."""
     kept_words, kept_links = drop_mined(keywords, links)
     known = kept_words.select(F.col("normalized_keyword").alias("term"))
     count = F.count(F.lit(1)).alias("n")
-    return (found.agg(count.alias("links_added"))
-            .withColumn("topics_scanned", topics.agg(count).scalar())
-            .withColumn("new_keywords", found.select("term").distinct().join(known, "term", "left_anti").agg(count).scalar())
-            .withColumn("stale_links_removed", links.agg(count).scalar() - kept_links.agg(count).scalar()))
+    out = (found.agg(count.alias("links_added"))
+           .withColumn("topics_scanned", topics.agg(count).scalar())
+           .withColumn("new_keywords", found.select("term").distinct().join(known, "term", "left_anti").agg(count).scalar())
+           .withColumn("stale_links_removed", links.agg(count).scalar() - kept_links.agg(count).scalar()))
+    return out if eligible is None else out.withColumn("candidate_keywords", eligible.agg(count).scalar())
 
 
 # -- manual work ----------------------------------------------------------------

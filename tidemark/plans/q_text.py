@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -9,7 +11,10 @@ from ..operators import dictionary as D
 from ..operators import events as E
 from ..operators import mining as T
 from ..operators import search as L
+from ..operators.intake_job import run_intake
 from ..operators.matching import contained_terms
+from ..session import shared_dir
+from ..sources.tables import TableStore
 from .fixtures import Tables, duck
 from .q_events import EVENTS, EV
 from .registry import query
@@ -147,6 +152,18 @@ fresh AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f_doc_links l JOIN f_c
 LINKING = (*POST, "aliases", "catalog", "doc_links")
 
 
+@query("s5_intake_tables", duck(f"""WITH {MERGED} SELECT b.topic_id, b.stock_code, CAST(confidence AS DOUBLE) AS confidence, mention_context, STRFTIME(published_at, '%Y-%m') AS month
+FROM b JOIN f_posts p ON p.id = b.topic_id""", *LINKING))
+def _(t):
+    """Two runs of the job into tables, the second of all topics again; the links are read back with their topics' months."""
+    store = TableStore(t.spark, f"{shared_dir(t.spark)}/tidemark-{uuid.uuid4().hex}")
+    for topics in (t.posts.filter("id % 2 = 0"), t.posts):
+        run_intake(store, topics, t.catalog, t.aliases, t.dictionary, t.words, t.bars)
+    topics = store.read("topics").select(F.col("id").alias("topic_id"), F.date_format("published_at", "yyyy-MM").alias("month"))
+    links = store.read("links").withColumn("confidence", F.col("confidence").cast("double"))
+    return links.join(topics, "topic_id").select("topic_id", "stock_code", "confidence", "mention_context", "month")
+
+
 @query("t4_link_stocks", duck(f"WITH {MERGED} SELECT topic_id, stock_code, CAST(confidence AS DOUBLE) AS confidence, mention_context FROM fresh", *LINKING))
 def _(t):
     links, _changes = T.link_stocks(t.posts, t.catalog, t.aliases, t.doc_links)
@@ -182,6 +199,14 @@ def _(t):
     return T.link_keywords(t.posts, t.dictionary, have).select("topic_id", "normalized_keyword", "keyword", "context")
 
 
+@query("t6_new_words", duck(f"""WITH {WORDED} SELECT DISTINCT normalized_keyword AS id, normalized_keyword AS keyword, 'manual' AS category FROM kh
+WHERE n = 1 AND normalized_keyword NOT IN (SELECT normalized_keyword FROM f_words)""", *POST, "words", "dictionary"))
+def _(t):
+    """The dictionary's forms are first letters, which the table of words does not have."""
+    found = T.keyword_matches(t.posts, t.dictionary).select("normalized_keyword", F.lit("manual").alias("category"))
+    return T.new_words(t.words, found).select("id", "keyword", "category")
+
+
 # -- phrases ------------------------------------------------------------------------
 
 TERMS = r"""x AS (SELECT id AS topic_id, title || ' ' || content AS text FROM f_docs),
