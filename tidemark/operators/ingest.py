@@ -206,8 +206,18 @@ def run_status(stocks: DataFrame, manifest: DataFrame, analysed: bool = True) ->
                      F.when(left > 0, "paused").otherwise(ended if analysed else F.lit("analyzing")).alias("status"))
 
 
+def run_totals(counts: DataFrame, results: DataFrame) -> DataFrame:
+    """One row for a run: rows imported, skipped and invalid (from the counts of `upsert_bars`) and codes that had no data or
+    failed. `results` as in `apply_outcomes`; the last outcome of a code counts."""
+    last = results.groupBy("stock_code").agg(F.max_by("outcome", "seq").alias("outcome"))
+    codes = last.agg(F.count_if(F.col("outcome") == "no_data").alias("no_data"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+    rows = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("imported", "skipped", "invalid_rows")])
+    return rows.withColumns({c: codes.select(c).scalar() for c in ("no_data", "failed")})
+
+
 def sync_progress(manifest: DataFrame, stocks: DataFrame, stored_status: str | None, updated_at: str, as_of: str) -> DataFrame:
-    """Progress over eligible codes with up to fifty failed codes; one row.
+    """Progress over eligible codes with up to fifty failed codes and the reason of every failed code (if the manifest has
+    a `reason`); one row. There are at most as many reasons as stock codes.
 
     A failed code that also completed counts as completed. `updated_at` and `as_of` are
     UTC times; a state older than three minutes is stale.
@@ -220,6 +230,12 @@ def sync_progress(manifest: DataFrame, stocks: DataFrame, stored_status: str | N
                       F.count_if(F.col("bad") & ~F.col("done")).alias("failed"))
     shown = state.filter("bad AND NOT done").orderBy("stock_code").limit(FAILED_SHOWN).agg(
         F.sort_array(F.collect_list("stock_code")).alias("codes"))
+    reasons = F.lit(None).cast("map<string,string>")
+    if "reason" in manifest.columns:
+        last = manifest.groupBy("stock_code").agg(F.max(F.col("status") == "completed").alias("done"),
+                                                  F.max(F.when(F.col("status") == "failed", F.col("reason"))).alias("reason"))
+        reasons = last.filter("NOT done AND reason IS NOT NULL").agg(
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("stock_code", "reason")))).alias("m")).scalar()
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.lit(updated_at).cast("timestamp"))
     fresh = age <= FRESH_MINUTES * 60
     stored = F.lit(stored_status)
@@ -230,7 +246,7 @@ def sync_progress(manifest: DataFrame, stocks: DataFrame, stored_status: str | N
               .when((F.col("total") > 0) & (F.col("completed") >= F.col("total")), "completed")
               .when(stored == "paused", "paused").when((stored == "running") & fresh, "running")
               .when(stored == "running", "paused").when(fresh, "running").otherwise("paused"))
-    return (totals.withColumn("failed_codes", shown.scalar()).withColumn("status", status)
+    return (totals.withColumns({"failed_codes": shown.scalar(), "failure_reasons": reasons}).withColumn("status", status)
             .withColumn("remaining", F.greatest(F.col("total") - processed, F.lit(0)))
             .withColumn("percent", F.when(F.col("total") > 0, F.round(processed * 100 / F.col("total"), 2)).otherwise(0.0)))
 

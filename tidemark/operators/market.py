@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import market_filter, market_of
+from ..session import materialize
 from .bars import adjusted, by_stock, latest_bars
 from .indicators import zzr
 
@@ -72,10 +73,12 @@ def market_list(bars: DataFrame, stocks: DataFrame, period: str = "1d", needle:
 
 
 def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 100) -> DataFrame:
-    """One page of an ordered list with the total on every row."""
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    """One page of an ordered list with the total on every row. The list is written once and read for both, so what it comes
+    from is computed once; hand in narrow rows."""
+    df = materialize(df)
+    total = df.count()
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
-    return rows.withColumn("total", total.scalar())
+    return rows.withColumn("total", F.lit(total).cast("bigint"))
 
 
 def by_change(descending: bool = True) -> list[Column]:
@@ -85,22 +88,27 @@ def by_change(descending: bool = True) -> list[Column]:
 
 def zzr_screen(bars: DataFrame, stocks: DataFrame, dates: list[str] | None = None, market: str = "all",
                adjust: str = "qfq", **params) -> DataFrame:
-    """Signals on the given dates (the newest date by default) over the full history up to them.
+    """Signals on the given dates (the newest date by default) over the full history up to them, with `scanned`, the number
+    of stocks looked at.
 
-    Nothing looks ahead, so the points of one pass serve any number of dates.
+    Nothing looks ahead, so the points of one pass serve any number of dates, and bars after the last of them are not
+    read.
     """
     chosen = stocks.filter(market_filter(F.col("stock_code"), market)).select("id", "stock_code", "stock_name")
     own = adjusted(bars, adjust).join(chosen.select(F.col("id").alias("stock_id")), "stock_id", "left_semi")
-    points = zzr(own, **params).filter("signal")
     if dates:
-        points = points.filter(F.col("trade_date").isin(*[F.lit(d).cast("date") for d in dates]))
+        wanted = [F.lit(d).cast("date") for d in dates]
+        points = zzr(own.filter(F.col("trade_date") <= F.greatest(wanted[0], *wanted)), **params).filter("signal")
+        points = points.filter(F.col("trade_date").isin(*wanted))
     else:
+        points = zzr(own, **params).filter("signal")
         points = points.filter(F.col("trade_date") == own.agg(F.max("trade_date").alias("d")).scalar())
+    scanned = chosen.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (points.join(chosen.withColumnRenamed("id", "stock_id"), "stock_id")
-            .withColumn("market", market_of(F.col("stock_code")))
+            .withColumns({"market": market_of(F.col("stock_code")), "scanned": scanned})
             .select("stock_code", "stock_name", "market", F.col("trade_date").alias("signal_date"), "close",
                     "trend", "breakout", "money_flow_up", "active", "signal", "mom", "mom_signal", "cmf",
-                    "volume_ratio", "breakout_level"))
+                    "volume_ratio", "breakout_level", "scanned"))
 
 
 def screen_order() -> list[Column]:

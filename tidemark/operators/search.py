@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .market import like_text, paginate
@@ -13,13 +13,27 @@ from .market import like_text, paginate
 CONTENT_LIMIT = 500
 
 
-def search_topics(topics: DataFrame, words: list[str], page: int = 1, size: int = 20, escape: bool = False) -> DataFrame:
-    """Topics whose title or content has every word (any case), newest first."""
+def search_keys(topics: DataFrame, words: list[str], page: int = 1, size: int = 20, escape: bool = False) -> DataFrame:
+    """(id, published_at, total) of one page of topics whose title or content has every word (any case), newest first.
+    Texts are scanned once; only keys of hits are kept."""
     found = topics
     for word in words:
         pattern = f"%{like_text(word, escape)}%"
         found = found.filter(F.col("title").ilike(pattern) | F.col("content").ilike(pattern))
-    return paginate(found, [F.desc("published_at"), F.desc("id")], page, size)
+    return paginate(found.select("id", "published_at"), newest_first(), page, size)
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("published_at"), F.desc("id")]
+
+
+def search_topics(topics: DataFrame, words: list[str], page: int = 1, size: int = 20, escape: bool = False) -> DataFrame:
+    """The page of `search_keys` with all columns of its topics: at most `size` ids, so the scan gets them as a list to skip
+    what cannot have them."""
+    keys = search_keys(topics, words, page, size, escape).collect()
+    total = keys[0].total if keys else 0
+    shown = topics.filter(F.col("id").isin([r.id for r in keys])) if keys else topics.limit(0)
+    return shown.withColumn("total", F.lit(total).cast("bigint")).orderBy(*newest_first())
 
 
 def filter_hits(topics: DataFrame, words: list[str], mode: str = "and", limit: int = 20) -> DataFrame:
@@ -35,24 +49,31 @@ def latest_topics(topics: DataFrame, n: int = 50) -> DataFrame:
     return topics.drop("content").orderBy(F.desc("published_at"), F.desc("id")).limit(n)
 
 
+OUTCOMES = ("return_1d", "return_3d", "return_5d", "return_10d", "return_20d", "max_return_5d", "max_return_20d")
+FLAGS = ("rise_10pct_flag", "rise_10pct_20d_flag")
+
+
 def topic_detail(topics: DataFrame, links: DataFrame, topic_keywords: DataFrame, returns: DataFrame,
                  stocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Everything attached to the given topics: (topic_id, kind, item, name, event_date, return_20d, max_return_20d)."""
+    """Everything attached to the given topics: (topic_id, kind, item, name, context, confidence, event_date, returns, flags).
+    `context` and `confidence` are those of the links (`mention_context`, `confidence`; `context` of words), null where
+    a table does not have them."""
     ids = topics.select(F.col("id").alias("topic_id"))
     named = stocks.select(F.col("id").alias("stock_id"), "stock_code", "stock_name")
-    none = F.lit(None)
-    def rows(df, kind, item, name, day=none, r20=none, best=none):
-        return df.select("topic_id", F.lit(kind).alias("kind"), item.alias("item"), name.alias("name"),
-                         day.cast("date").alias("event_date"), r20.cast("double").alias("return_20d"),
-                         best.cast("double").alias("max_return_20d"))
-    near = links.select("topic_id", "stock_id").join(ids, "topic_id", "left_semi").join(named, "stock_id")
-    said = topic_keywords.select("topic_id", "keyword_id").join(ids, "topic_id", "left_semi").join(
-        words.select(F.col("id").alias("keyword_id"), "keyword", "normalized_keyword"), "keyword_id")
-    came = returns.join(ids, "topic_id", "left_semi").join(named, "stock_id")
-    return (rows(near, "stock", F.col("stock_code"), F.col("stock_name"))
-            .unionByName(rows(said, "keyword", F.col("keyword"), F.col("normalized_keyword")))
-            .unionByName(rows(came, "return", F.col("stock_code"), F.col("stock_name"), F.col("event_date"),
-                              F.col("return_20d"), F.col("max_return_20d"))))
+    kinds = {"context": "string", "confidence": "double", "event_date": "date", **dict.fromkeys(OUTCOMES, "double"),
+             **dict.fromkeys(FLAGS, "boolean")}
+
+    def rows(df: DataFrame, kind: str, item: str, name: str, **given: str) -> DataFrame:
+        taken = {c: F.col(s) if s in df.columns else F.lit(None) for c, s in given.items()}
+        return df.join(ids, "topic_id", "left_semi").select(
+            "topic_id", F.lit(kind).alias("kind"), F.col(item).alias("item"), F.col(name).alias("name"),
+            *[taken.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    own = words.select(F.col("id").alias("keyword_id"), "keyword", "normalized_keyword")
+    outcome = {c: c for c in ("event_date", *OUTCOMES, *FLAGS)}
+    return (rows(links.join(named, "stock_id"), "stock", "stock_code", "stock_name", context="mention_context", confidence="confidence")
+            .unionByName(rows(topic_keywords.join(own, "keyword_id"), "keyword", "keyword", "normalized_keyword", context="context"))
+            .unionByName(rows(returns.join(named, "stock_id"), "return", "stock_code", "stock_name", **outcome)))
 
 
 def term_topics(topics: DataFrame, term_links: DataFrame, n: int = 100) -> DataFrame:

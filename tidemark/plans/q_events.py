@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.times import first_event_date
 from ..operators import bars as B
 from ..operators import events as E
 from ..operators import stats as S
+from ..session import shared_dir
 from .fixtures import Tables, duck
 from .registry import query
 
@@ -238,6 +241,21 @@ def _(t):
     return S.keyword_topic_counts(t.words, t.topic_words).select("keyword", "active", "topic_count")
 
 
+@query("a8_keyword_list", duck("""
+SELECT k.keyword, ROW_NUMBER() OVER (ORDER BY k.active DESC, k.keyword) AS place FROM f_words k WHERE k.category <> 'auto' AND NOT k.deleted""", "words"))
+def _(t):
+    return _placed(S.keyword_topic_counts(t.words, t.topic_words), tuple(S.by_activity())).select("keyword", "place")
+
+
+@query("s13_keyword_csv", duck(f"SELECT * EXCLUDE (place) FROM ({_stats_sql()}) q", *STATS))
+def _(t):
+    """Exported to the shared folder and read back."""
+    stats = S.keyword_stats(t.words, t.topic_words, _returns(t), t.stocks)
+    digits = {"avg_return_5d": 6, "avg_return_20d": 6, "rise_rate_10pct": 9, "rise_rate_10pct_20d": 9}
+    back = S.write_keyword_csv(stats, f"{shared_dir(t.spark)}/tidemark-{uuid.uuid4().hex}")
+    return back.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 @query("j3_left_outer_empty_groups", duck(f"""WITH {EVENTS}
 SELECT k.keyword, COUNT(e.topic_id) AS events FROM f_words k LEFT JOIN f_topic_words w ON w.keyword = k.id AND k.keyword NOT LIKE 'c%'
 LEFT JOIN er e ON e.topic_id = w.topic_id GROUP BY 1""", *EV, "topic_words", "words"))

@@ -348,6 +348,16 @@ def _(t):
     return G.apply_outcomes(_manifest(t), _results(t))
 
 
+@query("s12_run_totals", duck(f"""WITH {OUTCOME}, {UPSERT.format(today='1998-06-15', keep='TRUE')},
+ct AS (SELECT COALESCE(SUM(CASE WHEN c.change = 'skip' OR c.change IS NULL THEN 0 WHEN c.trade_date < DATE '1998-06-15' THEN 1 ELSE 2 END), 0) AS imported,
+ COALESCE(SUM(CASE WHEN c.change = 'skip' THEN 2 WHEN c.change IS NOT NULL AND c.trade_date < DATE '1998-06-15' THEN 1 ELSE 0 END), 0) AS skipped,
+ SUM(CASE WHEN DAY(b.trade_date) = 31 THEN 2 ELSE 0 END) AS invalid_rows FROM f_bars b LEFT JOIN ch c ON c.stock_id = b.stock_id AND c.trade_date = b.trade_date)
+SELECT CAST(imported AS BIGINT) AS imported, CAST(skipped AS BIGINT) AS skipped, CAST(invalid_rows AS BIGINT) AS invalid_rows,
+ (SELECT COUNT(*) FROM rs WHERE outcome = 'no_data') AS no_data, (SELECT COUNT(*) FROM rs WHERE outcome = 'failed') AS failed FROM ct""", "bars", "stocks"))
+def _(t):
+    return G.run_totals(_upsert(t)[1][1], _results(t))
+
+
 @query("s12_run_status", duck(f"""WITH {OUTCOME} SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'completed') AS completed, COUNT(*) FILTER (WHERE status = 'failed') AS failed,
  COUNT(*) FILTER (WHERE status IS NULL) AS remaining, CASE WHEN COUNT(*) FILTER (WHERE status IS NULL) > 0 THEN 'paused' WHEN COUNT(*) FILTER (WHERE status = 'failed') > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status
 FROM el LEFT JOIN ao USING (stock_code)""", "stocks"))
@@ -378,12 +388,13 @@ def _(t):
 @query("a7_sync_progress", duck(f"""WITH {MANIFEST}, st AS (SELECT stock_code, BOOL_OR(status = 'completed') AS done, BOOL_OR(status = 'failed') AS bad FROM mf GROUP BY 1),
 g AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE done) AS completed, COUNT(*) FILTER (WHERE bad AND NOT done) AS failed FROM el LEFT JOIN st USING (stock_code)),
 p AS (SELECT *, LEAST(completed + failed, total) AS processed FROM g)
-SELECT total, completed, failed, (SELECT STRING_AGG(stock_code, ',' ORDER BY stock_code) FROM (SELECT stock_code FROM st WHERE bad AND NOT done ORDER BY stock_code LIMIT 50) q) AS failed_codes,
+SELECT total, completed, failed, (SELECT STRING_AGG(stock_code || ':Timeout', ',' ORDER BY stock_code) FROM st WHERE bad AND NOT done) AS failure_reasons, (SELECT STRING_AGG(stock_code, ',' ORDER BY stock_code) FROM (SELECT stock_code FROM st WHERE bad AND NOT done ORDER BY stock_code LIMIT 50) q) AS failed_codes,
  CASE WHEN processed >= total AND failed > 0 THEN 'completed_with_failures' WHEN completed >= total THEN 'completed' ELSE 'running' END AS status,
  GREATEST(total - processed, 0) AS remaining, ROUND(processed * 100 / total, 2) AS percent FROM p""", "stocks"))
 def _(t):
     rows = G.sync_progress(_manifest(t), t.stocks, "running", "2024-01-01 00:00:00", "2024-01-01 00:02:59")
-    return rows.withColumn("failed_codes", F.array_join("failed_codes", ","))
+    reasons = F.transform(F.map_entries("failure_reasons"), lambda r: F.concat_ws(":", r["key"], r["value"]))
+    return rows.withColumns({"failed_codes": F.array_join("failed_codes", ","), "failure_reasons": F.array_join(reasons, ",")})
 
 
 # -- scalar times, numbers, shapes -------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -413,6 +414,23 @@ def _(t):
     return rounded(K.trades_by_reason(K.backtest(t.bars)), 9, "mean_return")
 
 
+@query("a11_reasons_by_count", bt("SELECT reason, COUNT(*) AS trades, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, reason) AS place FROM tr GROUP BY 1"))
+def _(t):
+    rows = K.trades_by_reason(K.backtest(t.bars))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*K.by_count())).cast("bigint")).select("reason", "trades", "place")
+
+
+@query("a10_entries", bt("SELECT (SELECT COUNT(*) FROM sg) AS entries, COUNT(*) AS trades FROM tr"))
+def _(t):
+    return K.trade_summary(K.backtest(t.bars), K.signal_count(K.signals(t.bars))).select("entries", "trades")
+
+
+@query("w15_scanned", zz(f"""SELECT s.stock_code, z.trade_date AS signal_date, ROUND(cmf, 6) AS cmf, (SELECT COUNT(*) FROM f_stocks) AS scanned
+FROM z JOIN f_stocks s ON s.id = z.stock_id WHERE signal AND z.trade_date IN (DATE '1997-12-06', DATE '1996-03-01', DATE '1998-01-15')""", names=("bars", "stocks")))
+def _(t):
+    return M.zzr_screen(t.bars, t.stocks, ["1997-12-06", "1996-03-01", "1998-01-15"]).select("stock_code", "signal_date", F.round("cmf", 6).alias("cmf"), "scanned")
+
+
 @query("a12_trades_by_year", bt("""SELECT YEAR(signal_date) AS year, COUNT(*) AS trades, ROUND(AVG(CASE WHEN ret > 0 THEN 1 ELSE 0 END), 9) AS win_rate,
  ROUND(AVG(ret), 9) AS mean_return FROM tr GROUP BY 1"""))
 def _(t):

@@ -245,13 +245,22 @@ def _(t):
     return T.discover_terms(t.docs, *_mined(t), PROSE, max_terms=8, max_per_topic=3)
 
 
-@query("t8_discovery_summary", duck(f"""WITH {FOUND} SELECT COUNT(*) AS links_added, (SELECT COUNT(*) FROM f_docs) AS topics_scanned,
+@query("t8_discovery_summary", duck(f"""WITH {FOUND} SELECT COUNT(*) AS links_added, (SELECT COUNT(*) FROM f_docs) AS topics_scanned, (SELECT COUNT(*) FROM fr) AS candidate_keywords,
  (SELECT COUNT(DISTINCT term) FROM fd WHERE term NOT IN ('only', 'under')) AS new_keywords,
  (SELECT COUNT(*) FROM f_docs WHERE id % 10 = 1) + (SELECT COUNT(*) FROM f_docs WHERE id % 4 = 1) AS stale_links_removed FROM fd""", "docs"))
 def _(t):
+    keywords, links = _mined(t)
+    found, eligible = T.discovery(t.docs, keywords, links, PROSE, max_terms=8, max_per_topic=3)
+    return T.discovery_summary(t.docs, keywords, links, found, eligible)
+
+
+@query("t8_new_words", duck(f"""WITH {FOUND} SELECT 2 + ROW_NUMBER() OVER (ORDER BY term) AS id, term AS keyword, 'auto' AS category
+FROM (SELECT DISTINCT term FROM fd WHERE term NOT IN ('only', 'under')) q""", "docs"))
+def _(t):
+    """Ids go on behind the greatest of the words that stay."""
     keywords, links = _mined(t)
     found = T.discover_terms(t.docs, keywords, links, PROSE, max_terms=8, max_per_topic=3)
-    return T.discovery_summary(t.docs, keywords, links, found)
+    return T.discovered_words(keywords, links, found).select("id", "keyword", "category")
 
 
 @query("t9_drop_orphans", duck("""SELECT k.keyword, COUNT(w.topic_id) AS links FROM f_words k LEFT JOIN (SELECT * FROM f_topic_words WHERE NOT (keyword LIKE 'bo%')) w ON w.keyword = k.id
@@ -345,7 +354,13 @@ def naive(df, *names):
 @query("l5_search_topics", duck("""SELECT id, published_at, COUNT(*) OVER () AS total FROM f_docs
 WHERE (title ILIKE '%tion%' OR content ILIKE '%tion%') AND (title ILIKE '%WITH%' OR content ILIKE '%WITH%') ORDER BY published_at DESC, id DESC LIMIT 20 OFFSET 20""", "docs"))
 def _(t):
-    return L.search_topics(t.docs, ["tion", "WITH"], 2, 20).select("id", "published_at", "total")
+    return L.search_keys(t.docs, ["tion", "WITH"], 2, 20)
+
+
+@query("l5_search_topics_shown", duck("""SELECT topic_id, author, content, COUNT(*) OVER () AS total FROM f_docs
+WHERE content ILIKE '%tion%' ORDER BY published_at DESC, id DESC LIMIT 10""", "docs"))
+def _(t):
+    return L.search_topics(t.docs, ["TION"], 1, 10).select("topic_id", "author", "content", "total")
 
 
 for _m, _op in (("and", "AND"), ("or", "OR")):
@@ -361,14 +376,20 @@ def _(t):
 
 
 @query("l8_topic_detail", duck(f"""WITH {EVENTS}
-SELECT m.topic_id, 'stock' AS kind, s.stock_code AS item, s.stock_name AS name, NULL::DATE AS event_date, NULL::DOUBLE AS return_20d, NULL::DOUBLE AS max_return_20d
+SELECT m.topic_id, 'stock' AS kind, s.stock_code AS item, s.stock_name AS name, 'ctx ' || CAST(m.topic_id % 7 AS VARCHAR) AS context, 0.85::DOUBLE AS confidence, NULL::DATE AS event_date,
+ NULL::DOUBLE AS return_1d, NULL::DOUBLE AS return_3d, NULL::DOUBLE AS return_5d, NULL::DOUBLE AS return_10d, NULL::DOUBLE AS return_20d, NULL::DOUBLE AS max_return_5d,
+ NULL::DOUBLE AS max_return_20d, NULL::BOOLEAN AS rise_10pct_flag, NULL::BOOLEAN AS rise_10pct_20d_flag
 FROM f_mentions m JOIN f_stocks s ON s.id = m.stock_id
-UNION ALL SELECT w.topic_id, 'keyword', k.keyword, k.normalized_keyword, NULL, NULL, NULL FROM f_topic_words w JOIN f_words k ON k.id = w.keyword
-UNION ALL SELECT e.topic_id, 'return', s.stock_code, s.stock_name, e.event_date, e.return_20d, e.max_return_20d FROM er e JOIN f_stocks s ON s.id = e.stock_id""",
+UNION ALL SELECT w.topic_id, 'keyword', k.keyword, k.normalized_keyword, 'said ' || k.keyword, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f_topic_words w JOIN f_words k ON k.id = w.keyword
+UNION ALL SELECT e.topic_id, 'return', s.stock_code, s.stock_name, NULL, NULL, e.event_date, e.return_1d, e.return_3d, e.return_5d, e.return_10d, e.return_20d,
+ e.max_return_5d, e.max_return_20d, e.rise_10pct_flag, e.rise_10pct_20d_flag FROM er e JOIN f_stocks s ON s.id = e.stock_id""",
                                 *EV, "stocks", "topic_words", "words"))
 def _(t):
     returns = E.event_returns(t.topics, t.mentions, t.bars)
-    return L.topic_detail(t.topics, t.mentions, t.topic_words, returns, t.stocks, t.words)
+    links = t.mentions.withColumns({"mention_context": F.concat(F.lit("ctx "), (F.col("topic_id") % 7).cast("string")),
+                                    "confidence": F.lit("0.85").cast("decimal(5,4)")})
+    said = t.topic_words.withColumn("context", F.concat(F.lit("said "), "keyword_id"))
+    return L.topic_detail(t.topics, links, said, returns, t.stocks, t.words)
 
 
 DOC_EVENTS = EVENTS.replace("f_topics", "f_docs").replace("f_mentions", "f_doc_links")
