@@ -233,12 +233,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                           F.when(F.col("_all") == 0, 0.0).otherwise(1 - F.col("_same") / F.col("_all")).alias("distance"))
 
 
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one label."""
+    mixed = rows.groupBy("list").agg(F.min("g").alias("_low"), F.max("g").alias("_high")).where("_low < _high").select("list")
+    return rows.join(mixed, "list", "left_semi")
+
+
 def linked_copies(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links between texts (nodes: id, bands; sets: id, shingles) that connect whatever is alike in the same list.
 
     Near copies share many lists, and a group of thousands would give millions of pairs. So the rows of a list are held
     against one of them, the head, and those alike are linked to it: a round makes at most one pair per row. No other pair is
-    lost by that. Two rows linked to one head are connected already (equal label g). A linked row stays in the list as long
+    lost by that. After each round the links of all lists together give every row its label g, so what one list has
+    connected is not looked at again in the others, and a list of one label is done. A linked row stays in the list as long
     as it can be alike to an open one: Jaccard distance is a metric, so only if the distances of the two from the head differ
     by no more than the limit. What `ROUNDS` rounds leave is paired in full in lists up to `LIST` rows; longer ones are filed
     again under each further band (see `missed` for two and three lists), and paired in full after the third.
@@ -256,14 +263,16 @@ def linked_copies(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
             met = materialize(rows.join(heads, "list").where("id <> a").withColumnRenamed("id", "b"))
             checked = materialize(verified(met.where("g <> _g").select("a", "b").distinct(), sets, similarity))
             links.append(checked.where("alike").select("a", "b"))
+            groups = components(reduce(DataFrame.union, links))
             # Rows with the head's label were not measured: their distance is unknown, so they stay beside any open row.
             met = materialize(met.join(checked, ["a", "b"], "left").withColumn("alike", F.coalesce("alike", F.lit(True))))
             nearest = met.where("NOT alike").groupBy("list").agg(F.min("distance").alias("nearest"))
             kept = met.join(nearest, "list").where(~F.col("alike") | F.col("distance").isNull()
                                                    | (F.col("distance") + limit >= F.col("nearest")))
-            rows = materialize(kept.select("list", F.col("b").alias("id"), F.when(F.col("alike"), F.col("_g")).otherwise(
-                F.col("g")).alias("g"), F.when(F.col("alike"), 1).otherwise(F.col("linked")).alias("linked"),
-                *["used"] * (level > 1)))
+            left = kept.select("list", F.col("b").alias("id"), F.when(F.col("alike"), 1).otherwise(F.col("linked")).alias("linked"),
+                               *["used"] * (level > 1))
+            rows = materialize(_unsettled(left.join(groups, F.col("id") == F.col("node"), "left").withColumn(
+                "g", F.coalesce("component", "id")).drop("node", "component")))
         if rows.isEmpty():
             break
         sized = materialize(_shared(rows))
