@@ -233,6 +233,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                           F.when(F.col("_all") == 0, 0.0).otherwise(1 - F.col("_same") / F.col("_all")).alias("distance"))
 
 
+def _release(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of rounds that are done: its cleaner acts when the driver collects garbage, which
+    a driver with little of its own to hold does late."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _unsettled(rows: DataFrame) -> DataFrame:
     """The rows of lists that hold more than one label."""
     mixed = rows.groupBy("list").agg(F.min("g").alias("_low"), F.max("g").alias("_high")).where("_low < _high").select("list")
@@ -273,6 +279,7 @@ def linked_copies(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
                                *["used"] * (level > 1))
             rows = materialize(_unsettled(left.join(groups, F.col("id") == F.col("node"), "left").withColumn(
                 "g", F.coalesce("component", "id")).drop("node", "component")))
+            _release(rows)
         if rows.isEmpty():
             break
         sized = materialize(_shared(rows))
