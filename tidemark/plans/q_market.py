@@ -426,9 +426,9 @@ def _(t):
 
 
 @query("w15_scanned", zz(f"""SELECT s.stock_code, z.trade_date AS signal_date, ROUND(cmf, 6) AS cmf, (SELECT COUNT(*) FROM f_stocks) AS scanned
-FROM z JOIN f_stocks s ON s.id = z.stock_id WHERE signal AND z.trade_date IN (DATE '1996-09-04', DATE '1996-10-25', DATE '1997-02-24')""", names=("bars", "stocks")))
+FROM z JOIN f_stocks s ON s.id = z.stock_id WHERE signal AND z.trade_date IN (DATE '1996-09-04', DATE '1996-10-25', DATE '1997-02-24', DATE '1997-12-06', DATE '1996-03-01', DATE '1998-01-15')""", names=("bars", "stocks")))
 def _(t):
-    return M.zzr_screen(t.bars, t.stocks, ["1996-09-04", "1996-10-25", "1997-02-24"]).select(
+    return M.zzr_screen(t.bars, t.stocks, ["1996-09-04", "1996-10-25", "1997-02-24", "1997-12-06", "1996-03-01", "1998-01-15"]).select(
         "stock_code", "signal_date", F.round("cmf", 6).alias("cmf"), "scanned")
 
 
