@@ -2,11 +2,13 @@
 clashing column names and empty tables."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import itertools
 import json
+import lzma
 import math
 import random
 import re
@@ -224,6 +226,48 @@ def test_every_occurrence_of_a_nested_secret(spark):
         assert clean.count("[secret]") >= 2 and inner[8:16] not in clean
 
 
+def raw_deflate(raw):
+    tool = zlib.compressobj(wbits=-15)
+    return tool.compress(raw) + tool.flush()
+
+
+@pytest.mark.parametrize("raw", [
+    b"token=abcdef123456 and so on", "a\u00a0b\u3000 token=abcdef123456".encode(), b"\x01\x02\xff token=abcdef123456 \x00\xfe",
+    "é token=abcdef123456".encode("utf-16-le"), "token=abcdef123456".encode("utf-16"), "一 token=abcdef123456".encode("utf-16-be"),
+    gzip.compress(b"nothing here") + gzip.compress(b"token=abcdef123456"), bz2.compress(b"nothing") + bz2.compress(b"token=abcdef123456"),
+    lzma.compress(b"token=abcdef123456"), raw_deflate(b"token=abcdef123456"), gzip.compress(zlib.compress(lzma.compress(b"token=abcdef123456"))),
+    gzip.compress("token=abcdef123456".encode("utf-16-le"))])
+def test_layers_behind_glued_prefixes(raw):
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        body = encode(raw).decode()
+        for front in ("", "https://h.com/cb/", "id-", "key_", "a/", "see "):
+            spans = [s for s in secret_scan.scan_text(f"{front}{body} end") if not s[3]]
+            assert any(k == 0 and len(front) <= a < b <= len(front) + len(body) for a, k, b, _ in spans), (front, body)
+        if not raw.startswith(raw_deflate(b"token=abcdef123456")):  # has no signature, so it is sought at separators only
+            assert any(k == 0 for _, k, _, s in secret_scan.scan_text(f"x{body}") if not s)
+
+
+def test_streams_are_read_to_the_end(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 17)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    long = b"plain words " * 30_000
+    body = base64.b64encode(gzip.compress(long + b"token=abcdef123456 " + long)).decode()
+    assert any(k == 0 for _, k, _, _ in secret_scan.scan_text(f"x {body} y"))
+    cut = base64.b64encode(gzip.compress(b"token=abcdef123456 " + random.Random(2).randbytes(3000))[:-1000]).decode()
+    assert any(k == 0 for _, k, _, _ in secret_scan.scan_text(cut))
+    windows = list(secret_scan._contents(gzip.compress(long), 0, "gzip"))
+    assert len(windows) > 2 and windows[0] + b"".join(w[1 << 10:] for w in windows[1:]) == long
+
+
+def test_deep_streams(spark):
+    raw = b"token=abcdef123456"
+    for _ in range(150):
+        raw = gzip.compress(raw, 0)
+    text = base64.b64encode(raw).decode()
+    assert {k for _, k, _, _ in secret_scan.scan_text(text)} == {0}
+    assert secret_scan.redact(docs_of(spark, [text])).first().text == "[secret]"
+
+
 def test_secret_frames(spark):
     df = spark.createDataFrame([(1, "see token=abcdefgh now", 5), (2, None, 6), (3, "", 7), (1, "see token=abcdefgh now", 5)], "doc_id long, text string, spans int")
     assert [len(r.spans) for r in secret_scan.scan(df).orderBy("doc_id").collect()] == [1, 1, 0, 0]
