@@ -13,6 +13,7 @@ text only. Equal texts have equal fingerprints, whatever batch or machine they m
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,27 +35,28 @@ ROWS_PER_PART = 5_000
 MAX_PARTS = 10_000
 
 
-def _uniforms(seeds: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) per term and sample, from the halves of a mix of the term's hash, the sample and
-    the stream."""
-    z = seeds[:, None] + (np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(4) + np.uint64(stream)) * np.uint64(0x9E3779B97F4A7C15)
+def _uniforms(seeds: np.ndarray, stream: int, samples: int = SAMPLES) -> np.ndarray:
+    """Two uniform numbers in (0, 1) per term and sample (last axis), from the halves of a mix of the term's hash, the
+    sample and the stream."""
+    z = seeds[:, None] + (np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(4) + np.uint64(stream)) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         z ^= z >> np.uint64(shift)
         z *= np.uint64(factor)
     z ^= z >> np.uint64(31)
-    halves = np.ascontiguousarray(z).view("<u4").reshape(*z.shape, 2)
-    return (halves[..., 0] + 0.5) * 2.0 ** -32, (halves[..., 1] + 0.5) * 2.0 ** -32
+    uniform = z.view("<u4").astype(np.float64).reshape(*z.shape, 2)
+    uniform += 0.5
+    uniform *= 2.0 ** -32
+    return uniform
 
 
 def least(terms: list[tuple[str, int]]) -> np.ndarray:
     """ln a of each (term, occurrences) and sample."""
     seeds = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t, _ in terms], np.uint64)
-    u, v = _uniforms(seeds, 0)
-    r = -np.log(u * v)
-    u, v = _uniforms(seeds, 1)
-    c = np.log(-np.log(u * v))
-    b, _ = _uniforms(seeds, 2)
-    b -= 1
+    u = _uniforms(seeds, 0)
+    r = -np.log(u[..., 0] * u[..., 1])
+    u = _uniforms(seeds, 1)
+    c = np.log(-np.log(u[..., 0] * u[..., 1]))
+    b = _uniforms(seeds, 2, SAMPLES // 2).reshape(len(terms), SAMPLES) - 1
     # t is 0 for a term that occurs once: its weight is 1
     many = np.flatnonzero(np.array([n for _, n in terms]) > 1)
     if len(many):
@@ -64,69 +66,77 @@ def least(terms: list[tuple[str, int]]) -> np.ndarray:
 
 
 class Sampler:
-    """Fingerprints of texts, with a bounded table of (term, occurrences) met before."""
+    """Fingerprints of texts, with a bounded table of (term, occurrences) met before; when it is full, the half used most
+    stays."""
 
     def __init__(self) -> None:
-        self.rows: dict[tuple[str, int], int] = {}
+        self.rows: dict[tuple[str, int], int] = {}  # in order of their row
         self.table = np.empty((CACHED + PAIRS, SAMPLES), np.float32)
+        self.uses = np.zeros(CACHED + PAIRS, np.int64)
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), SAMPLES), np.uint16)
-        at: list[int] = []
-        lists: list[list[tuple[str, int]]] = []
+        return self.both(texts, [None] * len(texts))[0]
+
+    def both(self, texts: list[str], others: list[str | None]) -> np.ndarray:
+        """Fingerprints of the texts and of each one's other text (zeros if None). What both hold as often is looked
+        up once."""
+        best = np.full((2, len(texts), SAMPLES), np.inf, np.float32)
+        parts: list[tuple[tuple[int, ...], int, list[tuple[str, int]]]] = []
         total = 0
-        for i, text in enumerate(texts):
-            terms = list(Counter(text.lower().split()).items())
-            if terms:
-                at.append(i)
-                lists.append(terms)
-                total += len(terms)
-            if total >= PAIRS or i + 1 == len(texts):
-                if at:
-                    out[at] = self._many(lists)
-                at, lists, total = [], [], 0
-        return out
-
-    def _many(self, lists: list[list[tuple[str, int]]]) -> np.ndarray:
-        if max(map(len, lists)) > PAIRS:
-            return np.concatenate([self._one(x)[None] if len(x) > PAIRS else self._many([x]) for x in lists])
-        found = []
-        for part in self._groups(lists):
-            index = self._index([t for x in part for t in x])
-            starts = np.cumsum([0, *map(len, part[:-1])])
-            found.append(np.minimum.reduceat(self.table[index], starts, axis=0))
-        return _bits(np.concatenate(found))
-
-    @staticmethod
-    def _groups(lists: list[list[tuple[str, int]]]) -> Iterator[list[list[tuple[str, int]]]]:
-        part, total = [], 0
-        for x in lists:
-            if part and total + len(x) > PAIRS:
-                yield part
-                part, total = [], 0
-            part.append(x)
-            total += len(x)
-        yield part
-
-    def _one(self, terms: list[tuple[str, int]]) -> np.ndarray:
-        """A text with very many terms, piece by piece."""
-        best = np.full(SAMPLES, np.inf, np.float32)
-        for i in range(0, len(terms), PAIRS):
-            best = np.minimum(best, self.table[self._index(terms[i:i + PAIRS])].min(axis=0))
-        return _bits(best[None])[0]
+        for i, (text, other) in enumerate(zip(texts, others)):
+            own = Counter(text.lower().split())
+            if other is None:
+                groups = [((0,), list(own.items()))]
+            else:
+                theirs = Counter(other.lower().split())
+                in_own, in_theirs = own.get, theirs.get
+                groups = [((0, 1), [x for x in own.items() if in_theirs(x[0]) == x[1]]),
+                          ((0,), [x for x in own.items() if in_theirs(x[0]) != x[1]]),
+                          ((1,), [x for x in theirs.items() if in_own(x[0]) != x[1]])]
+            for sides, terms in groups:
+                for k in range(0, len(terms), PAIRS):
+                    part = terms[k:k + PAIRS]
+                    if total + len(part) > PAIRS:
+                        self._lower(best, parts)
+                        parts, total = [], 0
+                    parts.append((sides, i, part))
+                    total += len(part)
+        self._lower(best, parts)
+        return np.where(np.isposinf(best), np.uint16(0), _bits(best))
+
+    def _lower(self, best: np.ndarray, parts: list[tuple[tuple[int, ...], int, list[tuple[str, int]]]]) -> None:
+        index = self._index([t for _, _, x in parts for t in x])
+        at = 0
+        for sides, i, terms in parts:
+            least_here = self.table[index[at:at + len(terms)]].min(axis=0)
+            at += len(terms)
+            for side in sides:
+                np.minimum(best[side, i], least_here, out=best[side, i])
 
     def _index(self, terms: list[tuple[str, int]]) -> np.ndarray:
         """Rows of the table for the terms; at most PAIRS of them."""
         if len(self.rows) >= CACHED:
-            self.rows.clear()
+            self._halve()
         rows = self.rows
-        new = [t for t in dict.fromkeys(terms) if t not in rows]
-        if new:
+        index = np.fromiter(map(rows.get, terms, itertools.repeat(-1)), np.int64, len(terms))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
             first = len(rows)
+            new = list(dict.fromkeys([terms[i] for i in missing]))
             for i in range(0, len(new), STEP):
                 self.table[first + i:first + i + len(new[i:i + STEP])] = least(new[i:i + STEP])
             rows.update(zip(new, range(first, first + len(new))))
-        return np.fromiter(map(rows.__getitem__, terms), np.int64, len(terms))
+            index[missing] = [rows[terms[i]] for i in missing]
+        self.uses[:len(rows)] += np.bincount(index, minlength=len(rows))
+        return index
+
+    def _halve(self) -> None:
+        keep = np.sort(np.argpartition(-self.uses[:len(self.rows)], CACHED // 2)[:CACHED // 2])
+        terms = list(self.rows)
+        self.rows = {terms[j]: i for i, j in enumerate(keep.tolist())}
+        self.table[:len(keep)] = self.table[keep]
+        self.uses[:len(keep)] = self.uses[keep] // 2
+        self.uses[len(keep):] = 0
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -195,38 +205,27 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
-        key_type = None
-        held: tuple | None = None  # (part, key, text, fingerprint) that waits for its successor
-        closed = False  # only the first closing row counts
-
-        def flush(pairs: list[tuple]) -> pa.RecordBatch:
-            edited = []
-            for _, body, _, after, _ in pairs:
-                k = len(body) // 3
-                edited.append(body[:len(body) - k] + after[:k])
-            prints = sampler.fingerprints(edited)
-            return pa.RecordBatch.from_arrays([
-                pa.array([p[0] for p in pairs], key_type), pa.array([len(p[1]) for p in pairs], pa.int64()),
-                pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]),
-                pa.array([p[2].astype(">u2").tobytes().hex() for p in pairs]),
-                pa.array([q.astype(">u2").tobytes().hex() for q in prints]),
-                pa.array([likeness(p[2], q) for p, q in zip(pairs, prints)], pa.float64()),
-                pa.array([likeness(p[2], p[4]) for p in pairs], pa.float64())], names=schema.names)
-
+        held: list[tuple] = []  # the last row: (part, ends, key, text), which waits for its successor
         for batch in batches:
             key_type = batch.schema.field(key).type
             for i in range(0, batch.num_rows, 500):
                 piece = batch.slice(i, 500)
-                texts = [v or "" for v in piece.column(text).to_pylist()]
-                prints = sampler.fingerprints(texts)
-                pairs = []
-                for part, ends, k, body, mark in zip(piece.column("part").to_pylist(), piece.column("ends").to_pylist(),
-                                                     piece.column(key).to_pylist(), texts, prints):
-                    if held is not None and held[0] == part and not closed:
-                        pairs.append((held[1], held[2], held[3], body, mark))
-                    closed = ends
-                    held = (part, k, body, mark)
-                if pairs:
-                    yield flush(pairs)
+                rows = held + [(p, e, k, t or "") for p, e, k, t in zip(*(piece.column(n).to_pylist() for n in ("part", "ends", key, text)))]
+                held = rows[-1:]
+                edited: list[str | None] = [None] * len(rows)
+                for j, ((part, ends, _, body), after) in enumerate(itertools.pairwise(rows)):
+                    if part == after[0] and not ends:  # only the first closing row counts
+                        third = len(body) // 3
+                        edited[j] = body[:len(body) - third] + after[3][:third]
+                prints, others = sampler.both([r[3] for r in rows], edited)
+                done = [j for j, e in enumerate(edited) if e is not None]
+                if done:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([rows[j][2] for j in done], key_type), pa.array([len(rows[j][3]) for j in done], pa.int64()),
+                        pa.array([hashlib.sha256(edited[j].encode("utf-8", "surrogatepass")).hexdigest() for j in done]),
+                        pa.array([prints[j].astype(">u2").tobytes().hex() for j in done]),
+                        pa.array([others[j].astype(">u2").tobytes().hex() for j in done]),
+                        pa.array([likeness(prints[j], others[j]) for j in done], pa.float64()),
+                        pa.array([likeness(prints[j], prints[j + 1]) for j in done], pa.float64())], names=schema.names)
 
     return map_arrow(with_next(df, key, text), run, schema)
