@@ -355,7 +355,8 @@ def test_model_prefers_real_text(spark):
     assert np.mean([means[i, 1] > means[i, 0] for i, _ in held]) > 0.98
     assert means[-1, 1] is None and means[-2, 1] is None
     text = held[0][1]
-    ids = [int(np.searchsorted(model.points, ord(c))) + 1 if ord(c) in model.points else masked_lm.RARE for c in text]
+    ids = [int(np.searchsorted(model.points, c)) + 1 if c in model.points else len(model.points) + 1 for c in text.encode()]
+    assert next(r.n_tokens for r in out if r.doc_id == held[0][0] and r.plain == 1) == len(ids)
     padded, total = [0, 0, *ids, 0, 0], 0.0
     tables, bias, head, head_bias = model.weights
     for i, token in enumerate(ids):
@@ -366,6 +367,40 @@ def test_model_prefers_real_text(spark):
     assert abs(got - total) < 1e-3 * abs(total)
 
 
+SCRIPTS = ["快速的棕色狐狸跳过了懒惰的狗然后回到森林里睡觉", "быстрая лиса прыгает через ленивую собаку и бежит в лес",
+           "η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί"]
+
+
+def test_model_of_other_scripts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").select("doc_id", "text")
+    rng = random.Random(9)
+    rows = [(1000 + i, line, i) for i, line in enumerate(SCRIPTS)]
+    shuffled = [(2000 + 100 * i + k, "".join(rng.sample(line, len(line))), i) for i, line in enumerate(SCRIPTS) for k in range(20)]
+    frame = spark.createDataFrame(rows + shuffled, "doc_id long, text string, script int")
+    taught = masked_lm.train(docs.unionByName(frame.where("doc_id < 2000").drop("script")), rounds=4)
+    ordinary = masked_lm.score(docs, taught).agg(F.avg("mean_log_prob")).first()[0]
+    for model, line_counts in ((taught, True), (masked_lm.train(docs, rounds=2), False)):
+        means = {(r.doc_id, r.script): r.mean_log_prob for r in masked_lm.score(frame, model).collect()}
+        for i in range(len(SCRIPTS)):
+            if line_counts:
+                assert np.mean([means[1000 + i, i] > m for (d, j), m in means.items() if d >= 2000 and j == i]) > 0.9
+            assert means[1000 + i, i] < ordinary
+
+
+def test_model_does_not_depend_on_the_splits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, other = (masked_lm.train(docs.repartition(n), rounds=2) for n in (2, 9))
+    assert (one.points == other.points).all() and all((a == b).all() for a, b in zip(one.weights, other.weights))
+
+
+def test_model_takes_long_texts(spark, monkeypatch):
+    texts = ["ab " * 400_000, "", None, "一二三" * 1000, "ab " * 400_000]
+    monkeypatch.setattr(masked_lm, "SHARD_WINDOWS", 10)
+    model = masked_lm.train(docs_of(spark, texts), rounds=1)
+    found = [(r.n_tokens, r.log_prob) for r in masked_lm.score(docs_of(spark, texts), model).orderBy("doc_id").collect()]
+    assert [n for n, _ in found] == [1_200_000, 0, 0, 9000, 1_200_000] and found[0] == found[4] and found[1][1] == 0
+
+
 def test_model_of_nothing(spark):
     empty = docs_of(spark, ["x"]).limit(0)
     assert masked_lm.score(empty, masked_lm.train(empty, rounds=1)).count() == 0

@@ -1,16 +1,17 @@
 """Masked pseudo-likelihood of texts under a small bidirectional network.
 
-Tokens are characters: the `SYMBOLS` - 2 most frequent code points of the corpus have ids of their own, the others share the
-last, and one marks the edge of a text. The network predicts each token from `SIDE` tokens on both sides: their embeddings,
-one matrix per place, are added, pass tanh, and a softmax names the token. A text's score is the sum of the log
-probabilities of its tokens, each with all the others given.
+Tokens are the UTF-8 bytes of a text, so every script is covered: each byte value that occurs in the corpus has a symbol of its own, one
+marks the edge of a text, and the last stands for byte values that the corpus lacks. The network predicts each token from
+`SIDE` tokens on both sides: their embeddings, one matrix per place, are added, pass tanh, and a softmax names the token. A
+text's score is the sum of the log probabilities of its tokens, each with all the others given.
 
 Training: the counts of all windows (left, token, right) of the whole corpus are a sufficient statistic of the loss. They are counted
-with partial sums, stored, and dealt by hash to `SHARDS` shards. In each round every shard runs Adam in numpy over its windows, starting
-from the common weights, and sends back only its weights; the driver averages these by the shards' token counts. What
-crosses to the driver has the size of the model, whatever the corpus.
+with partial sums, stored, and dealt by hash to shards, `SHARDS` at least and one more for each `SHARD_WINDOWS` windows. In each
+round every shard runs Adam in numpy over its windows, in the order of their codes, starting from the common weights, and
+sends back only its weights; the driver averages these by the shards' token counts. The corpus alone decides what a shard
+holds, so the weights do not depend on the machines. What crosses to the driver has the size of the model per shard.
 
-Scoring: a batch holds far fewer different contexts than tokens, so the network runs once per context.
+Scoring: a batch holds far fewer different contexts than tokens, so the network runs once per context, some thousand at a time.
 
 Defined results: a null or empty text has no tokens, score 0 and null mean; repeated rows count and score each; result columns replace
 input columns of the same name; an empty corpus leaves the network at its start.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,29 +33,31 @@ from .arrow import map_arrow
 from .suffix_dedup import store
 
 SIDE = 2
-SYMBOLS = 64  # a power of two: five of them fill 30 bits
 HIDDEN = 32
 SHARDS = 12
+SHARD_WINDOWS = 4_000_000
 ROUNDS = 8
 BATCH = 1024
 STEPS = 200  # at least so many steps a round; a shard with few windows goes over them several times
 RATE = 0.01
-EDGE, RARE = 0, SYMBOLS - 1
-BITS = SYMBOLS.bit_length() - 1
-CHUNK = 1 << 20
+EDGE = 0
+BITS = 9  # an edge, 256 bytes; five symbols fill 45 bits
+MASK = (1 << BITS) - 1
+CHUNK = 1 << 21
+CONTEXTS = 1 << 14
 
 
 @dataclass
 class Model:
-    points: np.ndarray  # code points with ids 1, 2, ...
-    weights: list[np.ndarray]  # place tables (2 SIDE, SYMBOLS, HIDDEN), bias, output (HIDDEN, SYMBOLS), output bias
+    points: np.ndarray  # byte values with symbols 1, 2, ...
+    weights: list[np.ndarray]  # place tables (2 SIDE, symbols, HIDDEN), bias, output (HIDDEN, symbols), output bias
 
 
-def _ids(texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ids(texts: list[bytes], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the texts with SIDE edges between them, and the place of each text's first symbol."""
-    gap = "\x00" * SIDE
-    raw = np.frombuffer((gap + gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), "<u4")
-    table = np.full(0x110000, RARE, np.uint8)
+    gap = b"\x00" * SIDE
+    raw = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+    table = np.full(256, len(points) + 1, np.int64)
     table[points] = np.arange(1, len(points) + 1)
     ids = table[raw]
     starts = SIDE + np.cumsum([0, *[len(t) + SIDE for t in texts[:-1]]])
@@ -64,20 +68,20 @@ def _ids(texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, starts
 
 
-def _codes(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context code, token, text) of every token."""
+def _codes(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window code, text) of every token; a code is the context and, in its last bits, the token."""
     text = np.repeat(np.arange(len(starts)), lengths)
     at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    context = np.zeros(len(at), np.int32)
-    for k in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-        context = context << BITS | ids[at + k]
-    return context, ids[at], text
+    code = np.zeros(len(at), np.int64)
+    for k in (*range(-SIDE, 0), *range(1, SIDE + 1), 0):
+        code = code << BITS | ids[at + k]
+    return code, text
 
 
-def _chunks(values: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def _chunks(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     first, part, size = 0, [], 0
     for i, v in enumerate(values):
-        part.append(v.as_py() or "")
+        part.append((v.as_py() or "").encode("utf-8", "surrogatepass"))
         size += len(part[-1])
         if size >= CHUNK:
             yield first, part
@@ -86,22 +90,18 @@ def _chunks(values: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, part
 
 
-def frequent_points(docs: DataFrame, text: str) -> np.ndarray:
-    """The most frequent code points, by counts over all texts."""
+def used_bytes(docs: DataFrame, text: str) -> np.ndarray:
+    """The byte values that occur, by counts over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
+        total = np.zeros(256, np.int64)
         for batch in batches:
             for _, texts in _chunks(batch.column(text)):
-                raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-                seen = np.bincount(raw)
-                total[:len(seen)] += seen
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["point", "n"])
+                total += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total))], names=["point"])
 
-    counts = map_arrow(docs.select(text), run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()
-    return np.array(sorted(r["point"] for r in top), np.int64)
+    found = map_arrow(docs.select(text), run, "point long").distinct().collect()  # 256 at most
+    return np.array(sorted(r["point"] for r in found), np.int64)
 
 
 def window_counts(docs: DataFrame, text: str, points: np.ndarray) -> DataFrame:
@@ -112,8 +112,7 @@ def window_counts(docs: DataFrame, text: str, points: np.ndarray) -> DataFrame:
             codes, numbers = [], []
             for _, texts in _chunks(batch.column(text)):
                 ids, starts = _ids(texts, points)
-                context, token, _ = _codes(ids, starts, np.array([len(t) for t in texts]))
-                code, n = np.unique(context.astype(np.int64) << BITS | token, return_counts=True)
+                code, n = np.unique(_codes(ids, starts, np.array([len(t) for t in texts]))[0], return_counts=True)
                 codes.append(code)
                 numbers.append(n)
             if not codes:
@@ -125,15 +124,15 @@ def window_counts(docs: DataFrame, text: str, points: np.ndarray) -> DataFrame:
     return map_arrow(docs.select(text), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def fresh(seed: int = 7) -> list[np.ndarray]:
+def fresh(symbols: int, seed: int = 7) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    return [rng.normal(0, 0.3, (2 * SIDE, SYMBOLS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
-            rng.normal(0, 0.1, (HIDDEN, SYMBOLS)).astype(np.float32), np.zeros(SYMBOLS, np.float32)]
+    return [rng.normal(0, 0.3, (2 * SIDE, symbols, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
+            rng.normal(0, 0.1, (HIDDEN, symbols)).astype(np.float32), np.zeros(symbols, np.float32)]
 
 
 def _places(context: np.ndarray) -> np.ndarray:
     shifts = np.arange(2 * SIDE - 1, -1, -1) * BITS
-    return (context[:, None] >> shifts) & (SYMBOLS - 1)
+    return (context[:, None] >> shifts) & MASK
 
 
 def forward(weights: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,25 +170,31 @@ def fit(weights: list[np.ndarray], context: np.ndarray, token: np.ndarray, n: np
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """Fits the network to all windows of all texts. A shard's windows are read as they come and never leave its task; there are at
-    most SYMBOLS^(2 SIDE + 1) different ones in all, and a task holds its part of them."""
-    points = frequent_points(docs, text)
-    counts = store(window_counts(docs, text, points).repartition(SHARDS, "code").sortWithinPartitions("code"))
-    weights = fresh()
+    """Fits the network to all windows of all texts. A task holds one shard's windows at a time."""
+    points = used_bytes(docs, text)
+    counts = store(window_counts(docs, text, points))
+    shards = SHARDS + counts.count() // SHARD_WINDOWS
+    counts = counts.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int"))
+    weights = fresh(len(points) + 2)
     for k in range(rounds):
         start, speed = weights, rate * 0.7 ** k
 
         def run(batches: Iterator[pa.RecordBatch], start=start, speed=speed, k=k) -> Iterator[pa.RecordBatch]:
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+            parts = [[c.to_numpy() for c in b.columns] for b in batches]
             if not parts:
                 return
-            code, n = (np.concatenate(c) for c in zip(*parts))
-            fitted = fit(start, code >> BITS, code & (SYMBOLS - 1), n.astype(np.float64), speed, k)
-            raw = b"".join(w.astype("<f4").tobytes() for w in fitted)
-            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([raw], pa.binary())], names=["n", "raw"])
-
-        # One file per shard, so a task is a shard; rows come back in any order and are sorted for a fixed sum.
-        back = sorted(map_arrow(counts, run, "n long, raw binary").collect())
+            codes, counted, owner = (np.concatenate(c) for c in zip(*parts))
+            for shard in np.unique(owner):
+                at = np.flatnonzero(owner == shard)
+                at = at[np.argsort(codes[at])]
+                code, n = codes[at], counted[at]
+                fitted = fit(start, code >> BITS, code & MASK, n.astype(np.float64), speed, k)
+                raw = b"".join(w.astype("<f4").tobytes() for w in fitted)
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard)]), pa.array([int(n.sum())]), pa.array([raw], pa.binary())],
+                                                 names=["shard", "n", "raw"])
+
+        dealt = counts.repartitionById(shards, F.col("shard"))
+        back = sorted(map_arrow(dealt, run, "shard long, n long, raw binary").collect(), key=lambda r: r["shard"])
         if not back:
             break
         total = sum(r["n"] for r in back)
@@ -199,6 +204,20 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float
     return Model(points, weights)
 
 
+def window_scores(weights: list[np.ndarray], code: np.ndarray) -> np.ndarray:
+    """The log probability of each window's token; codes in order."""
+    context = code >> BITS
+    firsts = np.flatnonzero(np.diff(context, prepend=-1))
+    bounds = np.append(firsts, len(code))
+    out = np.zeros(len(code), np.float32)
+    for i in range(0, len(firsts), CONTEXTS):
+        heads = firsts[i:i + CONTEXTS]
+        a, b = bounds[i], bounds[min(i + CONTEXTS, len(firsts))]
+        logs = forward(weights, context[heads])[2]
+        out[a:b] = logs[np.searchsorted(heads, np.arange(a, b), "right") - 1, code[a:b] & MASK]
+    return out
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens, log_prob (sum over tokens) and mean_log_prob."""
     docs = docs.drop("n_tokens", "log_prob", "mean_log_prob")
@@ -207,18 +226,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     points, weights = model.points, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.zeros(1 << BITS * 2 * SIDE, np.int32)
         for batch in batches:
             for first, texts in _chunks(batch.column(text)):
                 lengths = np.array([len(t) for t in texts])
-                ids, starts = _ids(texts, points)
-                context, token, owner = _codes(ids, starts, lengths)
-                flag = np.zeros(len(place), bool)
-                flag[context] = True
-                seen = np.flatnonzero(flag)
-                place[seen] = np.arange(len(seen))
-                logs = np.concatenate([forward(weights, seen[i:i + 65536])[2] for i in range(0, len(seen), 65536)] or [np.zeros((0, SYMBOLS), np.float32)])
-                total = np.bincount(owner, logs[place[context], token], len(texts)).astype(np.float64)
+                code, owner = _codes(*_ids(texts, points), lengths)
+                back, seen = pd.factorize(code)
+                order = np.argsort(seen)
+                logs = np.zeros(len(seen), np.float32)
+                logs[order] = window_scores(weights, seen[order])
+                total = np.bincount(owner, logs[back], len(texts)).astype(np.float64)
                 mean = np.divide(total, lengths, out=np.zeros(len(texts)), where=lengths > 0)
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lengths.astype(np.int64)), pa.array(total, pa.float64()),
