@@ -6,14 +6,13 @@ the recurrences run on arrays in an Arrow function applied as a window aggregate
 that row, and the rows are unpacked again. A window keeps the partitioning of its
 input, so the rolling windows that follow need no second shuffle.
 
-Steps of the recurrence are affine maps, and affine maps compose, so it is a blocked
-scan: all blocks at once by one product with a triangle of powers, then the same scan
-over the ends of blocks. Nothing loops over bars.
+A recurrence is taken bar by bar, as it is defined. Scans that compose its steps round otherwise, and conditions such as
+"above the floor line" or "rising" turn on the last bit where two lines meet.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -31,37 +30,15 @@ DEVIATION_MAX = 1.18
 STACK = (5, 10, 20, 60)
 
 
-SCAN_BLOCK = 64
-
-
-@lru_cache(256)
-def _powers(keep: float) -> tuple[np.ndarray, np.ndarray]:
-    """(triangle of keep ** (i - j), keep ** 1 to keep ** SCAN_BLOCK)."""
-    gap = np.subtract.outer(np.arange(SCAN_BLOCK), np.arange(SCAN_BLOCK))
-    return np.where(gap >= 0, keep ** np.maximum(gap, 0), 0.0), keep ** np.arange(1, SCAN_BLOCK + 1)
-
-
-def affine_scan(added: np.ndarray, keep: float, start: float) -> np.ndarray:
-    """y[i] = added[i] + keep * y[i - 1], with `start` before the first."""
-    triangle, powers = _powers(keep)
-    n = len(added)
-    if n <= SCAN_BLOCK:
-        return triangle[:n, :n] @ added + powers[:n] * start
-    blocks = np.pad(added, (0, -n % SCAN_BLOCK)).reshape(-1, SCAN_BLOCK) @ triangle.T
-    ends = affine_scan(blocks[:, -1], float(powers[-1]), start)
-    return (blocks + np.append(start, ends[:-1])[:, None] * powers).ravel()[:n]
-
-
 def average(series: np.ndarray, period: int) -> np.ndarray:
-    """Exponential average, seeded with the first value. From a value that is not finite on, none is."""
+    """Exponential average, seeded with the first value: alpha * value + keep * level, bar by bar and rounded in that order, so
+    that lines which meet compare as the definition has them. From a value that is not finite on, none is."""
     if not len(series):
         return series
     alpha = 2 / (period + 1)
-    odd = ~np.isfinite(series)
-    if odd.any():
-        first = int(odd.argmax())
-        return np.append(average(series[:first], period), np.cumsum(np.where(odd, series, 0.0)[first:]))
-    return affine_scan(alpha * series, 1 - alpha, float(series[0]))
+    keep = 1 - alpha
+    steps = accumulate((alpha * series[1:]).tolist(), lambda level, added: added + keep * level, initial=float(series[0]))
+    return np.fromiter(steps, np.float64, len(series))
 
 
 def _chains(values: Column, chains: tuple[tuple[int, ...], ...]) -> Column:
