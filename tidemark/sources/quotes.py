@@ -81,13 +81,17 @@ def import_quotes(existing: DataFrame, bars: DataFrame) -> DataFrame:
                      ["stock_code", "trade_date", "adjust_type"], "left_anti")
 
 
-def normalize_bars(df: DataFrame, mapping: dict[str, str], adjust: str = "qfq", keep: tuple[str, ...] = ("code",)) -> DataFrame:
-    """Provider rows to common columns: tolerant numbers, rows without a date or a positive close dropped."""
+def normalize_bars(df: DataFrame, mapping: dict[str, str], adjust: str = "qfq", keep: tuple[str, ...] = ("code",),
+                   signed: bool = False) -> DataFrame:
+    """Provider rows to common columns: tolerant numbers, rows without a date or a positive close dropped. `signed` keeps
+    every close that is a number: prices adjusted for dividends can pass zero."""
     numbers = [num_or_zero(F.col(mapping[n])).alias(n) for n in
                ("open", "high", "low", "close", "volume", "amount", "turnover_rate")]
+    close = F.col(mapping["close"]).try_cast("double")
+    priced = close.isNotNull() if signed else close > 0
     rows = df.select(*keep, F.col(mapping["date"]).cast("string").alias("date"), *numbers,
-                     F.lit(adjust).alias("adjust_type"))
-    return rows.filter("date IS NOT NULL AND date <> '' AND date <> 'None' AND close > 0")
+                     F.lit(adjust).alias("adjust_type"), priced.alias("_priced"))
+    return rows.filter("date IS NOT NULL AND date <> '' AND date <> 'None' AND _priced").drop("_priced")
 
 
 def union_with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
