@@ -33,13 +33,24 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(run(F.when(text.rlike(_MAY_CHANGE), text)), text)
 
 
-def unescape(text: Column) -> Column:
-    """Resolve HTML entities; only texts with an ampersand travel to Python."""
+def unescape(text: Column, bare: bool = True) -> Column:
+    """Resolve HTML entities; only texts with an ampersand travel to Python. `bare=False` leaves those without a closing
+    semicolon as they are, such as one cut in two."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         import html
-        return values.map(html.unescape, na_action="ignore")
+        import re
+        from html.entities import html5
+        if bare:
+            return values.map(html.unescape, na_action="ignore")
+        closed = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+        def plain(found: re.Match) -> str:
+            name = found.group(1)
+            return html5.get(name + ";", found.group()) if name else html.unescape(found.group())
+
+        return values.map(lambda v: closed.sub(plain, v), na_action="ignore")
 
     return F.coalesce(run(F.when(text.contains("&"), text)), text)
 
@@ -74,9 +85,9 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(text)), r"(?U)\s+", "")
 
 
-def clean_text(text: Column) -> Column:
-    """Plain text of a marked-up body: entities, hashtag elements, other tags."""
-    return _without_markup(unescape(F.coalesce(text, F.lit(""))))
+def clean_text(text: Column, bare: bool = True) -> Column:
+    """Plain text of a marked-up body: entities (see `unescape` for `bare`), hashtag elements, other tags."""
+    return _without_markup(unescape(F.coalesce(text, F.lit("")), bare))
 
 
 def _without_markup(plain: Column) -> Column:
