@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import num_or_zero
-from ..operators.ingest import first_by_key
 
 CSV_COLUMNS = ("code", "stock_code", "name", "stock_name", "date", "open", "high", "low", "close", "volume", "amount",
                "turnover_rate", "adjust_type")
@@ -37,14 +36,21 @@ def read_quotes_csv(spark: SparkSession, path: str, mode: str = "permissive") ->
     heads = (spark.read.text(path).select("value", file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"))
              .where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")))
     groups: dict[str, list[str]] = {}
-    for row in heads.collect():
+    found = sorted(heads.collect(), key=lambda row: row["file"])
+    for row in found:
         groups.setdefault(row["header"], []).append(row["file"])
+    # A number tells the place of a row: file, block of the file, row of the block. Names of files would travel with every row.
+    ranks = spark.createDataFrame([(row["file"], k) for k, row in enumerate(found)], "_file string, _rank bigint")
+    digits, within = F.lit(f"{10 ** 24}").cast("decimal(25,0)"), F.lit(f"{10 ** 10}").cast("decimal(11,0)")
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a block is read by one task
     parts = []
     for files in groups.values():
         rows = spark.read.csv(files, header=True, inferSchema=False, encoding="UTF-8")
         rows = rows.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in rows.columns})
         given = [c for c in CSV_COLUMNS if c in rows.columns]
-        parts.append(rows.select(*given, F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at")).alias("seq")))
+        placed = rows.select(*given, file.alias("_file"), block.alias("_block"), line.alias("_line"))
+        at = F.col("_rank") * digits + F.col("_block") * within + F.col("_line")
+        parts.append(placed.join(F.broadcast(ranks), "_file").select(*given, at.cast("decimal(38,0)").alias("seq")))
     if not parts:
         return normalize_quote_rows(spark.createDataFrame([], ", ".join(f"{c} string" for c in (*CSV_COLUMNS, "seq"))), mode)
     return normalize_quote_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), mode)
@@ -69,10 +75,13 @@ def normalize_quote_rows(raw: DataFrame, mode: str = "permissive", order: str =
         close.alias("_close"), F.coalesce(_given(raw, "adjust_type"), F.lit("qfq")).alias("adjust_type"), F.col(order).alias("seq"))
     rows = rows.filter("stock_code IS NOT NULL AND _day IS NOT NULL AND _close IS NOT NULL")
     names = rows.filter("name IS NOT NULL").groupBy("stock_code").agg(F.max_by("name", "seq").alias("stock_name"))
+    # Rows that are not whole have no order, so none of them is first: a filter on them would parse every number twice.
+    # Column by column, since values of a fixed width are reduced in a hash table, and a struct only by sorting.
     whole = " AND ".join(f"{n} IS NOT NULL" for n in ("trade_date", *numbers))
-    bars = first_by_key(rows.filter(whole).drop("name", "_day", "_close"),
-                        ["stock_code", "trade_date", "adjust_type"], "seq")
-    return bars.drop("seq"), names
+    ranked = rows.withColumn("_order", F.when(F.expr(whole), F.col("seq")))
+    bars = ranked.groupBy("stock_code", "trade_date", "adjust_type").agg(
+        F.min("_order").alias("_first"), *[F.min_by(n, "_order").alias(n) for n in numbers])
+    return bars.filter("_first IS NOT NULL").select("stock_code", "trade_date", "adjust_type", *numbers), names
 
 
 def import_quotes(existing: DataFrame, bars: DataFrame) -> DataFrame:
