@@ -41,7 +41,8 @@ def run_intake(store: TableStore, incoming: DataFrame, stocks: DataFrame, aliase
     added = materialize(new_words(keywords, matches.select("normalized_keyword", F.lit("manual").alias("category"))))
     words = identified_words(matches, keywords.unionByName(added), none.select("topic_id", F.col("stock_id").cast(keywords.schema["id"].dataType).alias("keyword_id")))
     dated = links.join(stocks.select(F.col("id").alias("stock_id"), "stock_code"), "stock_code")
-    returns = event_returns(fresh, dated.select("topic_id", "stock_id"), bars)
+    linked = dated.select("stock_id").distinct()  # bars of other stocks need no outcome
+    returns = event_returns(fresh, dated.select("topic_id", "stock_id"), bars.join(linked, "stock_id", "left_semi"))
     at = F.lit(f"run-{now.number + 1}").alias(PART)
     counts = counts.withColumns({"links": links.agg(F.count(F.lit(1))).scalar()})
     store.publish(now, append={
