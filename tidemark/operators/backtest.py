@@ -61,18 +61,31 @@ def backtest(bars: DataFrame, settings: list[dict] | None = None, exit_ema: int
     low at or under the stop, close under its `exit_ema`-bar average (when asked for),
     end of the holding window or of the data. `stop` 0 switches the stop off.
     """
-    longest = max([s.get("hold", DEFAULT_SETTING["hold"]) for s in (settings or [{}])])
     if stocks is not None:
         bars = bars.join(stocks.select("stock_id"), "stock_id", "left_semi")
-    points = signals(bars, settings, exit_ema, adjust)
+    return trades_of(signals(bars, settings, exit_ema, adjust), settings, exit_ema, start, end)
+
+
+def held_bars(points: DataFrame, settings: list[dict] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The rows of `signals` that can be entered or lie in the holding window of one that can, with these in `_covering`."""
+    longest = max([s.get("hold", DEFAULT_SETTING["hold"]) for s in (settings or [{}])])
     keys = SWEPT if len(settings or [{}]) > 1 else STOCK
     opened = F.when(entry_rule(start, end), F.struct(
         F.col("bar").alias("signal_bar"), F.col("trade_date").alias("signal_date"), "entry", "entry_date"))
     rows = points.withColumn("_opened", opened)
     covering = F.collect_list("_opened").over(by_stock(keys).rowsBetween(-(longest + 1), -2))
-    rows = rows.withColumn("_covering", covering).filter(F.size("_covering") > 0)
-    held = rows.select("stock_id", "setting", "hold", "stop", "trade_date", "bar", "open", "low", "close",
-                       "bars_in_all", "exit_level", F.inline("_covering"))
+    rows = rows.withColumn("_covering", covering).filter((F.size("_covering") > 0) | F.col("_opened").isNotNull())
+    return rows.select("stock_id", "setting", "hold", "stop", "trade_date", "bar", "open", "low", "close", "bars_in_all",
+                       "exit_level", "signal", "entry", "_covering")
+
+
+def trades_of(points: DataFrame, settings: list[dict] | None = None, exit_ema: int | None = None, start: str | None = None,
+              end: str | None = None) -> DataFrame:
+    """The trades of `signals`, see `backtest`; `points` may also be the rows that `held_bars` left."""
+    rows = points if "_covering" in points.columns else held_bars(points, settings, start, end)
+    held = rows.filter(F.size("_covering") > 0).select(
+        "stock_id", "setting", "hold", "stop", "trade_date", "bar", "open", "low", "close", "bars_in_all", "exit_level",
+        F.inline("_covering"))
     return _first_exits(held.filter(F.col("bar") - F.col("signal_bar") <= F.col("hold") + 1), bool(exit_ema))
 
 
