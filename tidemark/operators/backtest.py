@@ -23,6 +23,7 @@ def signals(bars: DataFrame, settings: list[dict] | None = None, exit_ema: int |
     adjustments than `adjust` are left out, so that no window mixes them."""
     if adjust and "adjust_type" in bars.columns:
         bars = adjusted(bars, adjust)
+    bars = bars.select("stock_id", "trade_date", "open", "high", "low", "close", "volume")  # others would be packed as well
     chosen = [{**DEFAULT_SETTING, **s} for s in (settings or [{}])]
     types = {"volume_ratio_max": "double", "deviation_max": "double", "same_day": "boolean", "hold": "int",
              "stop": "double"}
