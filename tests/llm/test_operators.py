@@ -654,6 +654,42 @@ def test_links_of_one_list_connect_what_is_alike(spark):
                                                  for a, b in itertools.combinations(range(4), 2) if abs(order[a] - order[b]) == 1}
 
 
+@pytest.mark.parametrize("together", [2048, 6])
+def test_a_list_of_many_unlike_texts_is_compared_at_once(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together, raising=False)
+    jobs, plain = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: jobs.append(1) or plain(df))
+    common = list(range(1000, 1060))
+    sets = [(i, common + list(range(100 * i, 100 * i + 20))) for i in range(100, 130)]  # 60 of 100: unlike
+    sets += [(i + 1000, s[:-2]) for i, s in sets[:9]]  # 78 of 80
+    nodes = spark.createDataFrame([(i, [1, 2, 3, 4]) for i, _ in sets], "id long, bands array<long>")
+    links = simhash.linked_copies(nodes, spark.createDataFrame(sets, "id long, shingles array<long>"), 0.8).collect()
+    assert {(min(r), max(r)) for r in links} == {(i, i + 1000) for i in range(100, 109)}
+    assert together == 6 or len(jobs) <= 3  # no rounds that set one text aside each
+
+
+def test_common_counts():
+    rng = np.random.default_rng(33)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in (0, 1, 5, 20, 40, 40, 60)] + [np.arange(70, 5000), np.arange(60, 5000)]
+    wanted = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    assert simhash.common_counts(sets).tolist() == wanted
+    assert simhash.spanning_links([1, 2], [1, 2], [np.zeros(0, np.int64)] * 2, 0.8) == [(1, 2)]  # empty sets are equal
+
+
+def test_near_copies_come_from_the_byte_index(spark, monkeypatch):
+    rng = random.Random(34)
+    texts = []
+    for k in range(30):  # long texts with one word changed: most are within three bits
+        words = fresh(rng, 600).split()
+        texts += [" ".join(words), " ".join([*words[:300], "edited", *words[301:]])]
+    prints = [simhash.fingerprint(t, simhash.SHINGLE) for t in texts]
+    near = {k for k in range(0, 60, 2) if (prints[k] ^ prints[k + 1]).bit_count() <= simhash.RADIUS}
+    assert len(near) > 10
+    monkeypatch.setattr(simhash, "band_keys", lambda shingles: [])
+    kept = {r.doc_id for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert kept == set(range(60)) - {k + 1 for k in near}
+
+
 # -- 9. Weighted sampling ------------------------------------------------------------
 
 def weights_of(text):

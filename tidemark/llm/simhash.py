@@ -10,11 +10,12 @@ Equal fingerprints are one node, so exact copies cost nothing. A list with more
 nodes are filed again under more positions (five bytes, then blocks of six, then of three bits, by the same pigeonhole
 argument: exact), which leaves lists of 512 nodes at most, so the work grows with the nodes and not with the square of a group.
 
-Texts beyond radius 3: `near_copies` files every text under `BANDS` keys, each the hash of `ROWS` minima over its set of
+`near_copies` takes the same index over fingerprints of five-word shingles first: a text within the radius of smaller ones is
+linked to the least of them if their exact Jaccard similarity holds. At similarity 0.8 most pairs differ in more than 3
+bits (some 10 of 64), so every text is also filed under `BANDS` keys, each the hash of `ROWS` minima over its set of
 five-word shingles (independent hash functions). Two sets of Jaccard similarity s share a list with probability
 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 3 in a million pairs do (see `missed`). What shares a list is verified by the exact
-Jaccard similarity of the shingle sets. Lists are linked to representatives first and paired only in what is left (see
-`linked_copies`).
+Jaccard similarity of the shingle sets, list by list and not pair by pair (see `linked_copies`).
 
 Defined results: a null text is an empty one; a text without words has the fingerprint zero, linked like any other; a
 text with fewer words than a shingle is one shingle; null ids never name a component unless all its ids are null.
@@ -45,7 +46,8 @@ LIST = 512
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-ROUNDS, LEVELS = 8, 3
+ROUNDS, LEVELS = 2, 3
+TOGETHER = 2048  # rows of a list whose sets meet in one task
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -201,26 +203,35 @@ def missed(similarity: float = SIMILARITY, shared: int = 1) -> float:
     return sum(comb(BANDS, k) * one ** k * (1 - one) ** (BANDS - k) for k in range(shared))
 
 
-def _text_arrays(docs: DataFrame, text: str, extra: list[str], name: str, made: Callable[[np.ndarray], list[int]]) -> DataFrame:
-    """Extra columns, id (hash of the text) and the array that `made` gives for the set of shingles."""
+def _text_arrays(docs: DataFrame, text: str, extra: list[str], name: str, made: Callable[[np.ndarray], list[int]],
+                 prints: bool = False) -> DataFrame:
+    """Extra columns, id (hash of the text) and the array that `made` gives for the set of shingles; with `prints` also f, the
+    fingerprint of the shingles, repeats included."""
     schema = T.StructType([*[docs.schema[c] for c in extra], T.StructField("id", T.LongType()),
-                           T.StructField(name, T.ArrayType(T.LongType()))])
+                           T.StructField(name, T.ArrayType(T.LongType())), *[T.StructField("f", T.LongType())] * prints])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                arrays = [made(np.unique(shingle_hashes(v.as_py() or "", SHINGLE))) for v in part.column(text)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in extra], part.column("id"),
-                                                  pa.array(arrays, pa.list_(pa.int64()))], names=schema.names)
+                hashes = [shingle_hashes(v.as_py() or "", SHINGLE) for v in part.column(text)]
+                columns = [*[part.column(c) for c in extra], part.column("id"),
+                           pa.array([made(np.unique(h)) for h in hashes], pa.list_(pa.int64()))]
+                if prints:
+                    columns.append(pa.array(np.array([int(majority(h)[0]) for h in hashes], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     body = F.coalesce(F.col(text), F.lit(""))
     return map_arrow(docs.select(*extra, F.xxhash64(body).alias("id"), body.alias(text)), run, schema)
 
 
 def _shared(filed: DataFrame) -> DataFrame:
-    """The rows in lists of two and more, with the number n of rows in the list."""
-    return filed.join(filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "list")
+    """The rows (list, id, g, others) of lists that hold more than one label g, with the number n of rows in the list; of lists
+    with the same rows one stays."""
+    once = (filed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("_low"), F.max("g").alias("_high"),
+                                      F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("_y"))
+            .where("_low < _high").groupBy("n", "_x", "_y").agg(F.min("list").alias("list")).select("list", "n"))
+    return filed.join(once, "list")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -239,75 +250,147 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _unsettled(rows: DataFrame) -> DataFrame:
-    """The rows of lists that hold more than one label."""
-    mixed = rows.groupBy("list").agg(F.min("g").alias("_low"), F.max("g").alias("_high")).where("_low < _high").select("list")
-    return rows.join(mixed, "list", "left_semi")
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share (a square table)."""
+    size, owner = len(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    common, both = np.zeros((size, size)), np.flatnonzero((times[code] == 2)[:-1] & (code[:-1] == code[1:]))
+    np.add.at(common, (np.r_[owner[both], owner[both + 1]], np.r_[owner[both + 1], owner[both]]), 1)
+    common[np.arange(size), np.arange(size)] = [len(s) for s in sets]
+    many = times[code] > 2
+    owner, code = owner[many], np.unique(code[many], return_inverse=True)[1]
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+        i, j = np.searchsorted(code, [low, low + 2048])
+        part = np.zeros((size, 2048), np.float32)
+        part[owner[i:j], code[i:j] - low] = 1
+        shared = part @ part.T
+        np.fill_diagonal(shared, 0)
+        common += shared
+    return common
+
+
+def spanning_links(ids: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between alike sets (exact Jaccard similarity) that, with the labels, connect all that are; one less than the sets at most."""
+    common, sizes = common_counts(sets), np.array([len(s) for s in sets])
+    alike = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+    links, unseen = [], np.ones(len(ids), bool)
+    for start in range(len(ids)):
+        todo = [start] if unseen[start] else []
+        unseen[start] = False
+        while todo:
+            k = todo.pop()
+            found = np.flatnonzero(alike[k] & unseen).tolist()
+            unseen[found] = False
+            todo += found
+            links += [(ids[k], ids[m]) for m in found if labels[k] != labels[m]]
+    return links
+
+
+def short_list_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links in the lists (list, id, g). A list's sets meet in one task, so that each moves once a list and not once a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: tuple[list[int], list[int], list[np.ndarray]]) -> pa.RecordBatch:
+            found = spanning_links(*held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        now, held = None, ([], [], [])
+        for batch in batches:
+            shingles = batch.column("shingles")
+            for k, (name, node, g) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("list", "id", "g")))):
+                if name != now and held[0]:
+                    yield links(held)
+                    held = ([], [], [])
+                now = name
+                for part, value in zip(held, (node, g, shingles[k].values.to_numpy().copy())):
+                    part.append(value)
+        if held[0]:
+            yield links(held)
+
+    met = rows.select("list", "id", "g").join(sets, "id").select("list", "id", "g", "shingles")
+    return map_arrow(met.repartition("list").sortWithinPartitions("list"), run, "a long, b long")
 
 
 def linked_copies(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between texts (nodes: id, bands; sets: id, shingles) that connect whatever is alike in the same list.
-
-    Near copies share many lists, and a group of thousands would give millions of pairs. So the rows of a list are held
-    against one of them, the head, and those alike are linked to it: a round makes at most one pair per row. No other pair is
-    lost by that. After each round the links of all lists together give every row its label g, so what one list has
-    connected is not looked at again in the others, and a list of one label is done. A linked row stays in the list as long
-    as it can be alike to an open one: Jaccard distance is a metric, so only if the distances of the two from the head differ
-    by no more than the limit. What `ROUNDS` rounds leave is paired in full in lists up to `LIST` rows; longer ones are filed
-    again under each further band (see `missed` for two and three lists), and paired in full after the third.
+    """(a, b): links between texts (nodes: id, bands, where known a label g that only connected texts share; sets: id, shingles)
+    that connect whatever is alike in the same list.
+
+    Near copies share many lists, often with the same rows: such lists count once, and lists of one label not at all. The rows of
+    a list of up to `TOGETHER` rows are compared in one task, which gives less links than rows. A longer list is first held against
+    one of its rows, the head, and those alike are linked to it: a round makes at most one pair per row. No other pair is
+    lost by that: a linked row stays in the list as long as it can be alike to an open one. Jaccard distance is a metric, so that is
+    only if the distances of the two from the head differ by no more than the limit. Lists that are longer than `TOGETHER` after
+    `ROUNDS` rounds are filed again under each further band (see `missed` for two and three lists), and after the third dealt into
+    parts, of which each two meet in one task.
     """
-    limit, links = 1 - similarity + 1e-9, []
-    rows = materialize(_shared(nodes.select("id", F.explode("bands").alias("list"))).select(
-        "list", "id", F.col("id").alias("g"), F.lit(0).alias("linked")))
+    limit, links, short = 1 - similarity + 1e-9, [], []
+    nodes = nodes if "g" in nodes.columns else nodes.withColumn("g", F.col("id"))
+    rows = materialize(_shared(nodes.select("id", "g", F.lit(0).alias("linked"), F.explode("bands").alias("list"))))
     for level in range(1, LEVELS + 1):
-        for _ in range(ROUNDS):
-            if rows.isEmpty():
+        for turn in range(ROUNDS + 1):
+            short.append(rows.where(F.col("n") <= TOGETHER).select("list", "id", "g"))
+            rows = rows.where(F.col("n") > TOGETHER)
+            if turn == ROUNDS or rows.isEmpty():
                 break
-            heads = rows.groupBy("list").agg(F.min(F.struct("linked", F.xxhash64("id").alias("o"), "id", "g")).alias("h"),
-                                             F.min("g").alias("g"), F.max("g").alias("_g"))
-            heads = heads.where("g < _g").select("list", F.col("h.id").alias("a"), F.col("h.g").alias("_g"))
-            met = materialize(rows.join(heads, "list").where("id <> a").withColumnRenamed("id", "b"))
-            checked = materialize(verified(met.where("g <> _g").select("a", "b").distinct(), sets, similarity))
+            heads = rows.groupBy("list").agg(F.min(F.struct("linked", F.xxhash64("id").alias("o"), "id")).alias("h"))
+            met = materialize(rows.join(heads.select("list", F.col("h.id").alias("a")), "list").where("id <> a").withColumnRenamed("id", "b"))
+            checked = materialize(verified(met.select("a", "b").distinct(), sets, similarity))
             links.append(checked.where("alike").select("a", "b"))
-            groups = components(reduce(DataFrame.union, links))
-            # Rows with the head's label were not measured: their distance is unknown, so they stay beside any open row.
-            met = materialize(met.join(checked, ["a", "b"], "left").withColumn("alike", F.coalesce("alike", F.lit(True))))
+            met = materialize(met.join(checked, ["a", "b"]))
             nearest = met.where("NOT alike").groupBy("list").agg(F.min("distance").alias("nearest"))
-            kept = met.join(nearest, "list").where(~F.col("alike") | F.col("distance").isNull()
-                                                   | (F.col("distance") + limit >= F.col("nearest")))
-            left = kept.select("list", F.col("b").alias("id"), F.when(F.col("alike"), 1).otherwise(F.col("linked")).alias("linked"),
-                               *["used"] * (level > 1))
-            rows = materialize(_unsettled(left.join(groups, F.col("id") == F.col("node"), "left").withColumn(
-                "g", F.coalesce("component", "id")).drop("node", "component")))
+            kept = met.join(nearest, "list").where(~F.col("alike") | (F.col("distance") + limit >= F.col("nearest")))
+            left = kept.select("list", F.col("b").alias("id"), F.when(F.col("alike"), F.col("a")).otherwise(F.col("g")).alias("g"),
+                               F.when(F.col("alike"), 1).otherwise(F.col("linked")).alias("linked"), *["used"] * (level > 1))
+            rows = materialize(_shared(left))
             _release(rows)
         if rows.isEmpty():
             break
-        sized = materialize(_shared(rows))
-        short = sized if level == LEVELS else sized.where(F.col("n") <= LIST)
-        other = short.select("list", F.col("id").alias("b"), F.col("g").alias("_g"))
-        pairs = short.join(other, "list").where("id < b AND g <> _g").select(F.col("id").alias("a"), "b").distinct()
-        links.append(materialize(verified(pairs, sets, similarity).where("alike").select("a", "b")))
         if level == LEVELS:
+            parts = F.ceil(F.col("n") / F.lit(max(1, TOGETHER // 2))).cast("int")
+            dealt = rows.select("list", "id", "g", F.pmod(F.xxhash64("id", F.lit(3)), parts).cast("int").alias("_p"),
+                                F.explode(F.sequence(F.lit(0), parts - 1)).alias("_q"))
+            short.append(dealt.select(F.xxhash64("list", F.least("_p", "_q"), F.greatest("_p", "_q")).alias("list"), "id", "g"))
             break
-        long = sized.where(F.col("n") > LIST).join(nodes, "id").withColumn("used", F.array("list") if level == 1 else F.col("used"))
+        long = rows.join(nodes.select("id", "bands"), "id").withColumn("used", F.array("list") if level == 1 else F.col("used"))
         finer = long.select("id", "g", "linked", "used", F.explode(F.array_except("bands", "used")).alias("_more"))
         finer = finer.withColumn("used", F.array_sort(F.concat("used", F.array("_more"))))
         finer = finer.groupBy(F.xxhash64("used").alias("list"), "id").agg(
             F.min("g").alias("g"), F.min("linked").alias("linked"), F.first("used").alias("used"))
-        rows = materialize(_shared(materialize(finer)).drop("n"))
-    return reduce(DataFrame.union, links, nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)).distinct()
+        rows = materialize(_shared(materialize(finer)))
+    links.append(short_list_links(reduce(DataFrame.union, short), sets, similarity))
+    return materialize(reduce(DataFrame.union, links).distinct())
+
+
+def index_stars(nodes: DataFrame) -> DataFrame:
+    """(a, b): each text (nodes: id, f) that has smaller ones within `RADIUS` bits, with the least of them, by the inverted index
+    over byte positions (`candidate_pairs`: lists, tally, minimum of equal bytes, all bits). Texts of one fingerprint are one node."""
+    prints = materialize(nodes.groupBy("f").agg(F.min("id").alias("least")))
+    pairs = candidate_pairs(prints.select(F.col("least").alias("id"), F.lit(0).alias("t"), "f"))
+    near = pairs.groupBy(F.col("b").alias("least")).agg(F.min("a").alias("a"))
+    named = prints.join(near, "least", "left").select("f", F.coalesce("a", "least").alias("a"))
+    return materialize(nodes.join(named, "f").where("id <> a").select("a", F.col("id").alias("b")))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` less all but one of each group of near copies: the one with the least key stays (null last,
-    then by the text's hash); fully equal rows count once. Texts move once, to meet the list of those that stay."""
+    then by the text's hash); fully equal rows count once. Links come from the byte index of fingerprints (radius 3) and, for
+    pairs further apart, from the lists of minima; both are held against the exact similarity. Texts move once, to meet the list of those that stay."""
     docs, restored = set_aside(docs, key, text)
-    prints = materialize(_text_arrays(docs, text, [key], "bands", band_keys))
-    nodes = materialize(prints.groupBy("id").agg(F.first("bands").alias("bands")))
-    filed = _shared(nodes.select("id", F.explode("bands").alias("list"))).select("id")
-    copies = docs.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(filed.distinct().withColumnRenamed("id", "_id"), "_id", "left_semi")
+    prints = materialize(_text_arrays(docs, text, [key], "bands", band_keys, prints=True))
+    nodes = materialize(prints.groupBy("id").agg(F.first("bands").alias("bands"), F.first("f").alias("f")))
+    stars = index_stars(nodes.select("id", "f"))
+    _release(docs)
+    filed = nodes.select("id", F.explode("bands").alias("list"))
+    wanted = filed.join(filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "list").select("id").union(
+        stars.select("a")).union(stars.select("b")).distinct().withColumnRenamed("id", "_id")
+    copies = docs.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(wanted, "_id", "left_semi")
     sets = materialize(_text_arrays(copies.dropDuplicates(["_id"]), text, [], "shingles", lambda x: x.view(np.int64).tolist()))
-    links = linked_copies(nodes, sets, similarity)
+    close = materialize(verified(stars, sets, similarity).where("alike").select("a", "b"))
+    labelled = nodes.join(close.withColumnRenamed("b", "id"), "id", "left").select("id", "bands", F.coalesce("a", "id").alias("g"))
+    links = close.union(linked_copies(labelled, sets, similarity))
+    _release(docs)
     groups = components(links)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("id").alias("id"))
     least = (prints.select(key, "id").join(groups, F.col("id") == F.col("node"), "left")
