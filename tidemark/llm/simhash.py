@@ -23,6 +23,7 @@ text with fewer words than a shingle is one shingle; null ids never name a compo
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from itertools import combinations
@@ -245,8 +246,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _release(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of rounds that are done: its cleaner acts when the driver collects garbage, which
-    a driver with little of its own to hold does late."""
+    """Lets Spark remove the shuffle files of steps that are done: its cleaner acts when the driver collects garbage, which
+    a driver with little of its own to hold does late; and what Python still holds, the driver cannot drop."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
@@ -387,7 +389,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
         stars.select("a")).union(stars.select("b")).distinct().withColumnRenamed("id", "_id")
     copies = docs.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(wanted, "_id", "left_semi")
     sets = materialize(_text_arrays(copies.dropDuplicates(["_id"]), text, [], "shingles", lambda x: x.view(np.int64).tolist()))
+    _release(docs)
     close = materialize(verified(stars, sets, similarity).where("alike").select("a", "b"))
+    _release(docs)
     labelled = nodes.join(close.withColumnRenamed("b", "id"), "id", "left").select("id", "bands", F.coalesce("a", "id").alias("g"))
     links = close.union(linked_copies(labelled, sets, similarity))
     _release(docs)
