@@ -780,6 +780,20 @@ def test_repeats_against_brute_force(spark, length):
     assert clean == {i: None if texts[i] is None else w[3].decode("utf-8", "ignore") for i, w in enumerate(want)}
 
 
+@pytest.mark.parametrize("batch", [1 << 20, 500])
+def test_summary_gives_what_is_kept(spark, monkeypatch, batch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    rng = random.Random(21)
+    half = "".join(rng.choices("àé", k=200))
+    texts = [*repetitive(rng), "ab" + half + "è", "cd" + half + "ê", "plain"]  # è and ê begin with the same byte
+    got = {r.doc_id: r for r in suffix_dedup.summary(docs_of(spark, texts), length=400).collect()}
+    want = without_repeats(texts, 400)
+    assert {i: r.text for i, r in got.items()} == {i: None if t is None else w[3].decode("utf-8", "ignore") for i, (t, w) in enumerate(zip(texts, want))}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == {
+        i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for i, w in enumerate(want)}
+    assert got[len(texts) - 3].text == "ab" and got[len(texts) - 3].n_removed == 401
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.summary(docs_of(spark, ["x"]).limit(0)).count() == 0
     assert suffix_dedup.remove_repeats(docs_of(spark, ["x", None])).count() == 2
