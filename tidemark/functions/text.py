@@ -74,10 +74,10 @@ def has_real_content(title: Column, content: Column) -> Column:
     return plain.rlike("[一-鿿A-Za-z0-9]")
 
 
-def normalize_term(text: Column) -> Column:
-    """Dictionary form of a word; NULL for an empty word."""
-    clean = F.regexp_replace(strip(nfkc(F.coalesce(text, F.lit("")))), r"(?U)\s+", " ")
-    return F.when(clean != "", clean)
+def normalize_term(text: Column, empty: bool = False) -> Column:
+    """Dictionary form of a word; NULL for an empty word, unless `empty` keeps it as it is."""
+    clean = F.regexp_replace(strip(nfkc(text)), r"(?U)\s+", " ")
+    return clean if empty else F.when(clean != "", clean)
 
 
 def compact(text: Column) -> Column:
