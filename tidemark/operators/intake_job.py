@@ -9,16 +9,16 @@ from ..session import materialize
 from ..sources.tables import PART, TableStore, bucket_part, month_part, touched_parts
 from .events import METRICS, event_returns
 from .ingest import import_topics
-from .mining import identified_words, keyword_matches, link_stocks, new_words
+from .mining import Spelling, identified_words, keyword_matches, link_stocks, new_words
 
 BUCKETS = 16
 
 
 def run_intake(store: TableStore, incoming: DataFrame, stocks: DataFrame, aliases: DataFrame, dictionary: DataFrame,
                keywords: DataFrame, bars: DataFrame, order: str = "id", reject_attachments: bool = False,
-               buckets: int = BUCKETS) -> DataFrame:
+               buckets: int = BUCKETS, spelling: Spelling | None = None) -> DataFrame:
     """Store what is new of `incoming` topics; the counts of the run, one row. `dictionary` has the raw forms of words with
-    their normal forms, `keywords` is the table of words with ids.
+    their normal forms, `keywords` is the table of words with ids. See `best_mentions` for `spelling`.
 
     Tables: `topics` by month, `keys` (the ids of all topics, by bucket of their hash, so that a run reads only buckets of
     ids that come in), `links` (topic_id, stock_code, confidence, mention_context), `stock_changes`, `words` (topic_id,
@@ -34,7 +34,7 @@ def run_intake(store: TableStore, incoming: DataFrame, stocks: DataFrame, aliase
     fresh, month = materialize(fresh), month_part(F.col("published_at"))
     spark = store.spark
     none = spark.createDataFrame([], "topic_id bigint, stock_id bigint")
-    links, changes = link_stocks(fresh, stocks, aliases, none)
+    links, changes = link_stocks(fresh, stocks, aliases, none, spelling)
     links = materialize(links)
     when = fresh.select(F.col("id").alias("topic_id"), month.alias(PART))
     matches = materialize(keyword_matches(fresh, dictionary))

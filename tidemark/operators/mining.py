@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,11 +64,16 @@ def topic_texts(topics: DataFrame) -> DataFrame:
 
 # -- stock mentions -------------------------------------------------------------
 
-def _codes(text: Column, pattern: str = CODE_PATTERN) -> Column:
-    """Array of (code, context) in the order of the text. Contexts are cut here, so the text is not repeated per hit."""
-    spelled = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("code"),
-                           F.regexp_extract_all(text, F.lit(pattern), 0).alias("term"))
-    return F.transform(spelled, lambda m: F.struct(m["code"].alias("code"), snippet(text, m["term"]).alias("context")))
+Spelling = Callable[[Column], Column]  # from a code to how a topic spells it
+
+
+def _codes(text: Column, pattern: str = CODE_PATTERN, spelling: Spelling | None = None) -> Column:
+    """Array of (code, context) in the order of the text. Contexts are cut here, so the text is not repeated per hit. They lie
+    around the code as it was found or, with `spelling`, around that."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("code"),
+                         F.regexp_extract_all(text, F.lit(pattern), 0).alias("term"))
+    return F.transform(found, lambda m: F.struct(m["code"].alias("code"), snippet(
+        text, spelling(m["code"]) if spelling else m["term"]).alias("context")))
 
 
 def code_mentions(topics: DataFrame, pattern: str = CODE_PATTERN) -> DataFrame:
@@ -110,9 +116,10 @@ def name_mentions(topics: DataFrame, stocks: DataFrame) -> DataFrame:
     return _named_mentions(topics, catalogue_names(stocks), NAME_CONFIDENCE, 3)
 
 
-def best_mentions(topics: DataFrame, stocks: DataFrame, aliases: DataFrame) -> DataFrame:
+def best_mentions(topics: DataFrame, stocks: DataFrame, aliases: DataFrame, spelling: Spelling | None = None) -> DataFrame:
     """One row per (topic, code): code before alias before name. A bare code that the named
-    catalogue does not know is dropped. Aliases and names are one dictionary and codes are read from the same row, so
+    catalogue does not know is dropped. Contexts of codes lie around the code as it was found or, with `spelling` (which may
+    use `topic_id`), around that; a topic without it has its first characters. Aliases and names are one dictionary and codes are read from the same row, so
     a text is searched once; rows are reduced map-side, so a popular stock is no hot spot."""
     texts = topic_texts(topics)
     money = "decimal(5,4)"
@@ -123,7 +130,7 @@ def best_mentions(topics: DataFrame, stocks: DataFrame, aliases: DataFrame) -> D
     text, nothing = F.col("text"), F.lit(None).cast("string")
     named = F.transform(found_terms(text, F.coalesce("terms", F.array().cast("array<string>"))), lambda m: F.struct(
         m["term"].alias("term"), nothing.alias("code"), m["context"].alias("mention_context"), F.lit(0).alias("pos")))
-    coded = F.transform(_codes(text), lambda m, i: F.struct(
+    coded = F.transform(_codes(text, spelling=spelling), lambda m, i: F.struct(
         nothing.alias("term"), m["code"].alias("code"), m["context"].alias("mention_context"), i.alias("pos")))
     hits = texts.join(candidates(texts, names), "topic_id", "left").select("topic_id", F.inline(F.concat(named, coded)))
     # Of several spellings of a code the last counts.
@@ -139,9 +146,11 @@ def best_mentions(topics: DataFrame, stocks: DataFrame, aliases: DataFrame) -> D
             .filter(F.col("_known").isNotNull() | (F.col("stock_name") != "")).drop("_known", "rank", "position"))
 
 
-def link_stocks(topics: DataFrame, stocks: DataFrame, aliases: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new links, stocks to add or name). Links carry the stock code; links that exist are not repeated."""
-    best = best_mentions(topics, stocks, aliases)
+def link_stocks(topics: DataFrame, stocks: DataFrame, aliases: DataFrame, links: DataFrame,
+                spelling: Spelling | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new links, stocks to add or name). Links carry the stock code; links that exist are not repeated. See `best_mentions`
+    for `spelling`."""
+    best = best_mentions(topics, stocks, aliases, spelling)
     have = links.join(stocks.select(F.col("id").alias("stock_id"), "stock_code"), "stock_id").select(
         "topic_id", "stock_code")
     fresh = best.join(have, ["topic_id", "stock_code"], "left_anti")
